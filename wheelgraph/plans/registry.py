@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..operators import cluster, graph
+from ..operators import cluster, graph, routing
 from ..sources import adapters as own
 from .dialect import duck_text, query, spark_text
 
@@ -156,3 +156,25 @@ def matched_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["matched_truth"] = matched_truth
+
+
+_REQUESTS = "SELECT o_orderkey AS request, o_orderkey * 37 % n AS start, o_custkey * 53 % n AS end_ FROM {orders}, (SELECT least(count(*), 1520) AS n FROM {customer}) c WHERE o_orderkey <= 40"
+_COSTED = f"SELECT edge, u, v, length, greatest(0.1 * length, length * CASE surface WHEN 'MACHINERY' THEN 2.0 ELSE 1.0 END) AS cost, steps OR wheelchair_no AS blocked FROM {_EDGE}"
+
+
+def accessible_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shortest against accessible routes of a batch of requests over the walking lattice."""
+    requests = _read(spark, sf_dir, _REQUESTS, "orders", "customer").withColumnRenamed("end_", "end")
+    found = routing.routes(requests, _read(spark, sf_dir, _COSTED, "customer"))
+    return found.select("request", "baseline_m", "accessible_m", "violations", "same_route", "warning")
+
+
+def network_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Least walking lengths from two nodes to all others, by distributed relaxation."""
+    requests = spark.sql("SELECT * FROM VALUES (0L, 0L), (1L, 57L) AS r(request, start)")
+    return routing.relax(requests, _read(spark, sf_dir, _COSTED, "customer").select("u", "v", F.col("length").alias("cost"))).select("request", "node", "dist")
+
+
+QUERIES |= {"accessible_routes": accessible_routes, "network_distances": network_distances}
+#: On the lattice without gaps a shortest path is as long as the steps between rows and columns (all rows are full, so none is cut off).
+ORACLES["network_distances"] = duck_text(f"""SELECT r.request, n.node, 40.0 * (abs(n.node % 40 - r.start % 40) + abs(n.node // 40 - r.start // 40)) AS dist FROM ({own.NODES}) n CROSS JOIN (VALUES (0, 0), (1, 57)) AS r(request, start)""")

@@ -26,7 +26,7 @@ DETECTIONS = f"""SELECT id, frame_id, image_id, feature_index, type, confidence,
   FROM {{events}}, (SELECT count(*) AS n FROM {{events}}) c) d"""
 
 #: A walking lattice of 40 columns, 40 m apart; customers stand for crossings.
-NODES = f"SELECT c_custkey - 1 AS node, (c_custkey - 1) % 40 * 40.0 AS x, (c_custkey - 1) {{div}} 40 * 40.0 AS y, c_mktsegment AS segment FROM {{customer}} WHERE c_custkey <= 1520"
+NODES = f"SELECT c_custkey AS node, c_custkey % 40 * 40.0 AS x, c_custkey {{div}} 40 * 40.0 AS y, c_mktsegment AS segment FROM {{customer}} WHERE c_custkey < 1520"
 EDGES = f"""SELECT row_number() OVER (ORDER BY u, v) - 1 AS edge, u, v, length, surface, steps, wheelchair_no, x1, y1, x2, y2 FROM (
   SELECT a.node AS u, b.node AS v, 40.0 AS length, a.segment AS surface, (a.node * 3 + b.node) % 17 = 0 AS steps, (a.node + b.node * 5) % 29 = 0 AS wheelchair_no,
     a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM ({NODES}) a JOIN ({NODES}) b ON b.node = a.node + 1 AND a.node % 40 <> 39 OR b.node = a.node + 40) e"""
