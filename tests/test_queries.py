@@ -2,6 +2,7 @@
 
 import datetime
 import math
+import os
 
 import duckdb
 import pytest
@@ -9,7 +10,7 @@ import pytest
 from wheelgraph.plans import registry
 from wheelgraph.plans.dialect import TABLES
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("QUERIES_SF_DIR", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="module")

@@ -118,7 +118,7 @@ SHARED["edge_samples"] = f"SELECT edge, k.i AS nth, round(x1 + (x2 - x1) * (k.i
 _SNAP_D, _SNAP_T = geo.segment("p.px", "p.py", "e.x1", "e.y1", "e.x2", "e.y2")
 _POINTS = "SELECT p_partkey AS pid, p_partkey * 37 % 1600 + 0.37 AS px, p_partkey * 53 % 1500 + 0.61 AS py, p_partkey * 37 % 1600 {div} 40 AS gx, p_partkey * 53 % 1500 {div} 40 AS gy FROM {part}"
 _BUCKET = "SELECT e.*, CAST(floor(x1 / 40) AS BIGINT) + s.dx AS gx, CAST(floor(y1 / 40) AS BIGINT) + s.dy AS gy FROM {edges_} CROSS JOIN (VALUES (-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 0), (0, 1), (1, -1), (1, 0), (1, 1)) AS s(dx, dy)".replace("{edges_}", _EDGE)
-SHARED["snap_to_edge"] = f"""SELECT pid, edge, round(d, 3) AS distance_m, round(t, 4) AS t FROM (SELECT pid, edge, d, t, row_number() OVER (PARTITION BY pid ORDER BY round(d, 6), edge) AS nth FROM (
+SHARED["snap_to_edge"] = f"""SELECT pid, edge, round(d, 3) AS distance_m, round(t, 6) AS t FROM (SELECT pid, edge, d, t, row_number() OVER (PARTITION BY pid ORDER BY round(d, 6), edge) AS nth FROM (
   SELECT p.pid, e.edge, {_SNAP_D} AS d, {_SNAP_T} AS t FROM ({_POINTS}) p JOIN ({_BUCKET}) e ON e.gx = p.gx AND e.gy = p.gy) c WHERE d <= 12.0) r WHERE nth = 1"""
 SHARED["snap_to_node"] = f"SELECT p.pid, min_by(n.node, {{row}}(round(power(n.x - p.px, 2) + power(n.y - p.py, 2), 6), n.node)) AS node, round(sqrt(min(power(n.x - p.px, 2) + power(n.y - p.py, 2))), 3) AS distance_m FROM ({_POINTS}) p JOIN ({own.NODES}) n ON abs(n.x - p.px) <= 10 AND abs(n.y - p.py) <= 10 WHERE power(n.x - p.px, 2) + power(n.y - p.py, 2) <= 100 GROUP BY p.pid"
 SHARED["covered_edges"] = f"SELECT round(sum(CASE WHEN near THEN 1.0 ELSE 0.0 END) / count(*), 6) AS covered FROM (SELECT e.edge, EXISTS (SELECT 1 FROM ({_POINTS}) p WHERE abs(p.px - (e.x1 + e.x2) / 2) <= 15 AND abs(p.py - (e.y1 + e.y2) / 2) <= 15) AS near FROM {_EDGE}) c"
