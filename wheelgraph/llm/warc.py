@@ -137,8 +137,9 @@ def convert_record(name: str, index: int, record: dict, kind: str | None = None,
 
 
 def _spread(df: DataFrame, key: str) -> DataFrame:
-    """The small rows of a manifest, dealt out so that each task opens some files."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    """The small rows of a manifest, dealt out so that each task opens some files. By a hash of the key: a join's own
+    partitioning by the key would be taken instead, which adaptive execution merges into one task, as the rows are small."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(key))
 
 
 def write_arc(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES) -> DataFrame:
