@@ -90,3 +90,34 @@ def destination(lon: str, lat: str, bearing: str, dist: str) -> tuple[str, str]:
     north, east = f"({dist} * cos(radians({bearing})))", f"({dist} * sin(radians({bearing})))"
     m, n = f"({WGS84_A * (1 - e2)} / power({w}, 1.5))", f"({WGS84_A} / sqrt({w}))"
     return f"({lon} + degrees({east} / ({n} * cos(radians({lat})))))", f"({lat} + degrees({north} / {m}))"
+
+
+_N = WGS84_F / (2 - WGS84_F)
+_UTM_SCALE = 0.9996 * WGS84_A / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64)
+_ALPHA = (_N / 2 - 2 * _N**2 / 3 + 5 * _N**3 / 16, 13 * _N**2 / 48 - 3 * _N**3 / 5, 61 * _N**3 / 240)
+_BETA = (_N / 2 - 2 * _N**2 / 3 + 37 * _N**3 / 96, _N**2 / 48 + _N**3 / 15, 17 * _N**3 / 480)
+_DELTA = (2 * _N - 2 * _N**2 / 3 - 2 * _N**3, 7 * _N**2 / 3 - 8 * _N**3 / 5, 56 * _N**3 / 15)
+
+
+def central_meridian(lon: str) -> str:
+    return f"(6 * floor((({lon}) + 180) / 6) - 177)"
+
+
+def to_utm(source: str, lon: str, lat: str, meridian: str) -> str:
+    """SQL: `source` with east and north (m) of the transverse Mercator projection at `meridian`, by Krüger's series (below a millimetre within a zone)."""
+    k = 2 * _N**0.5 / (1 + _N)
+    q = f"SELECT *, sinh(atanh(sin(radians({lat}))) - {k!r} * atanh({k!r} * sin(radians({lat})))) AS tt, radians({lon} - {meridian}) AS dm FROM ({source}) u0"
+    q = f"SELECT *, atan2(tt, cos(dm)) AS xi, atanh(sin(dm) / sqrt(1 + tt * tt)) AS eta FROM ({q}) u1"
+    wave = lambda a, b: " + ".join(f"{c!r} * {a}({2 * i} * xi) * {b}({2 * i} * eta)" for i, c in enumerate(_ALPHA, 1))
+    east, north = f"500000.0 + {_UTM_SCALE!r} * (eta + {wave('cos', 'sinh')})", f"CASE WHEN {lat} < 0 THEN 10000000.0 ELSE 0.0 END + {_UTM_SCALE!r} * (xi + {wave('sin', 'cosh')})"
+    return f"SELECT * EXCEPT (tt, dm, xi, eta), {east} AS east, {north} AS north FROM ({q}) u2"
+
+
+def from_utm(source: str, east: str, north: str, meridian: str) -> str:
+    """SQL: `source` with lon and lat of northern east and north."""
+    q = f"SELECT *, {north} / {_UTM_SCALE!r} AS x0, ({east} - 500000.0) / {_UTM_SCALE!r} AS e0 FROM ({source}) v0"
+    wave = lambda a, b: " - ".join(f"{c!r} * {a}({2 * i} * x0) * {b}({2 * i} * e0)" for i, c in enumerate(_BETA, 1))
+    q = f"SELECT *, x0 - {wave('sin', 'cosh')} AS xi, e0 - {wave('cos', 'sinh')} AS eta FROM ({q}) v1"
+    q = f"SELECT *, asin(sin(xi) / cosh(eta)) AS chi FROM ({q}) v2"
+    lat = "degrees(chi + " + " + ".join(f"{c!r} * sin({2 * i} * chi)" for i, c in enumerate(_DELTA, 1)) + ")"
+    return f"SELECT * EXCEPT (x0, e0, xi, eta, chi), {meridian} + degrees(atan2(sinh(eta), cos(xi))) AS lon, {lat} AS lat FROM ({q}) v3"
