@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from ..operators import cluster, graph, routing
 from ..sources import adapters as own
+from . import network
 from .dialect import duck_text, query, spark_text
 
 SHARED: dict[str, str] = {}
@@ -66,8 +67,10 @@ _THIN = f"""SELECT id, x, y, captured_at, foot, quality, first_ord FROM (SELECT
   row_number() OVER (PARTITION BY cx, cy, view ORDER BY captured_at DESC, foot DESC, quality DESC, ord) AS nth FROM ({_CELL}) c) t WHERE nth = 1"""
 SHARED["thin_images"] = f"SELECT id, first_ord FROM ({_THIN}) k"
 _DEPTH = f"SELECT *, CAST(floor(x / 25) AS BIGINT) AS bx, CAST(floor(y / 25) AS BIGINT) AS by_, min(first_ord) OVER (PARTITION BY CAST(floor(x / 25) AS BIGINT), CAST(floor(y / 25) AS BIGINT)) AS block_ord, row_number() OVER (PARTITION BY CAST(floor(x / 25) AS BIGINT), CAST(floor(y / 25) AS BIGINT) ORDER BY captured_at DESC, foot DESC, quality DESC, first_ord) AS depth FROM ({_THIN}) k"
-SHARED["spread_images"] = f"""SELECT id, pos FROM (SELECT d.id, row_number() OVER (ORDER BY d.depth, h.head) AS pos FROM ({_DEPTH}) d JOIN (
-  SELECT bx, by_, row_number() OVER (ORDER BY captured_at DESC, foot DESC, quality DESC, block_ord) AS head FROM ({_DEPTH}) e WHERE depth = 1) h ON h.bx = d.bx AND h.by_ = d.by_) z WHERE pos <= 300"""
+#: The window over all rows runs on the 300 rows of a top-k.
+SHARED["spread_images"] = f"""SELECT id, row_number() OVER (ORDER BY depth, head_at DESC, head_foot DESC, head_quality DESC, block_ord) AS pos FROM (
+  SELECT id, depth, block_ord, max(CASE WHEN depth = 1 THEN captured_at END) OVER (PARTITION BY bx, by_) AS head_at, max(CASE WHEN depth = 1 THEN foot END) OVER (PARTITION BY bx, by_) AS head_foot,
+    max(CASE WHEN depth = 1 THEN quality END) OVER (PARTITION BY bx, by_) AS head_quality FROM ({_DEPTH}) d ORDER BY depth, head_at DESC, head_foot DESC, head_quality DESC, block_ord LIMIT 300) z"""
 SHARED["latest_by_id"] = "SELECT user_id AS id, max_by(event_type, event_id) AS event_type, min(event_id) AS position FROM {events} GROUP BY user_id"
 SHARED["pano_crops"] = f"SELECT i.id, c.yaw, round({geo.pmod('coalesce(heading, 0.0) + c.yaw', '360')}, 6) AS heading, CAST(i.id AS STRING) || '_yaw' || lpad(CAST(c.yaw AS STRING), 3, '0') AS frame_id FROM {_IMG} JOIN (VALUES (0), (90), (180), (270)) AS c(yaw) ON i.is_pano UNION ALL SELECT id, NULL, round(heading, 6), CAST(id AS STRING) FROM {_IMG} WHERE NOT is_pano"
 SHARED["major_road_sequences"] = f"SELECT sequence, round(avg(CASE WHEN road_gap <= 15 THEN 1.0 ELSE 0.0 END), 6) AS share FROM {_IMG} WHERE sequence IS NOT NULL GROUP BY sequence HAVING avg(CASE WHEN road_gap <= 15 THEN 1.0 ELSE 0.0 END) >= 0.5"
@@ -178,3 +181,6 @@ def network_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES |= {"accessible_routes": accessible_routes, "network_distances": network_distances}
 #: On the lattice without gaps a shortest path is as long as the steps between rows and columns (all rows are full, so none is cut off).
 ORACLES["network_distances"] = duck_text(f"""SELECT r.request, n.node, 40.0 * (abs(n.node % 40 - r.start % 40) + abs(n.node // 40 - r.start // 40)) AS dist FROM ({own.NODES}) n CROSS JOIN (VALUES (0, 0), (1, 57)) AS r(request, start)""")
+
+QUERIES |= network.QUERIES
+ORACLES |= network.ORACLES
