@@ -91,3 +91,33 @@ def suggestions(barriers: DataFrame, mapped: DataFrame, min_conf: float = 0.8, m
         .when(F.col("n_views") < min_views, "few_views").when(F.col("_there"), "already_in_osm")
     )
     return rows.withColumn("reason", reason).drop("_there", "kind")
+
+
+def site_stats(barriers: DataFrame, frames: DataFrame, ledger: DataFrame, metrics: DataFrame, feedback: DataFrame, budget: int) -> DataFrame:
+    """One row on a finished run, from one aggregate of each table.
+
+    barriers (type, snapped, n_views), frames (captured_at), ledger (calls; null counts as one), metrics (split, frames,
+    precision_, recall_), feedback (status). Scores come from the hold-out, else from tuning; the table by type from
+    all frames, else from that same split. `by_type` is ordered by number, then type."""
+    by_type = barriers.groupBy("type").agg(F.count("*").alias("total"), F.count_if(~F.col("snapped")).alias("unsnapped"))
+    by_type = by_type.agg(F.array_sort(F.collect_list(F.struct((-F.col("total")).alias("_by"), "type", "total", "unsnapped"))).alias("t"))
+    by_type = by_type.select(F.transform("t", lambda t: F.struct(t["type"].alias("type"), t["total"].alias("total"), t["unsnapped"].alias("unsnapped"))).alias("by_type"))
+    of = lambda split, c: F.max(F.when(F.col("split") == split, F.col(c)))
+    headline = F.when(F.count_if(F.col("split") == "holdout") > 0, "holdout").when(F.count_if(F.col("split") == "tuning") > 0, "tuning")
+    scored = lambda c: F.when(F.count_if(F.col("split") == "holdout") > 0, of("holdout", c)).otherwise(of("tuning", c))
+    day = F.substring(F.col("captured_at").cast("string"), 1, 10)
+    parts = [
+        barriers.agg(F.count("*").alias("barriers"), F.count_if("snapped").alias("snapped"), F.count_if(F.col("n_views") > 1).alias("multi_view")),
+        by_type,
+        frames.agg(F.count("*").alias("frames"), F.min(day).alias("photos_from"), F.max(day).alias("photos_to")),
+        ledger.agg(F.coalesce(F.sum(F.coalesce("calls", F.lit(1))), F.lit(0)).alias("calls_used"), F.lit(budget).alias("calls_budget")),
+        metrics.agg(
+            headline.alias("split"), scored("frames").alias("split_frames"), scored("precision_").alias("precision_"), scored("recall_").alias("recall_"),
+            F.when(F.count_if(F.col("split") == "all_frames") > 0, "all_frames").otherwise(headline).alias("by_type_split"),
+        ),
+        feedback.agg(F.count("*").alias("feedback_barriers"), F.count_if(F.col("status") == "confirmed").alias("confirmed"), F.count_if(F.col("status") == "rejected").alias("rejected")),
+    ]
+    one = parts[0]
+    for p in parts[1:]:
+        one = one.crossJoin(p)  # one row each
+    return one

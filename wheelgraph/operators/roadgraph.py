@@ -96,3 +96,13 @@ def surface_factor(surfaces: Column, table: dict[str, float], aliases: dict[str,
     unknown = F.lit(float(table.get("unknown", 1.0)))
     each = F.transform(surfaces, lambda s: F.coalesce(F.try_element_at(mapped(table), F.coalesce(F.try_element_at(alias, s), s)), unknown))
     return F.coalesce(F.array_max(each), unknown)
+
+
+def tag_shares(edges: DataFrame, tags: list[str]) -> DataFrame:
+    """(tag, edge_share, length_share): how much of `edges` (length and a column per tag) bears each tag, in one pass; 0 without edges."""
+    sums = [F.count("*").alias("_n"), F.sum("length").alias("_m")]
+    for t in tags:
+        sums += [F.count(t).alias(f"n_{t}"), F.sum(F.when(F.col(t).isNotNull(), F.col("length"))).alias(f"m_{t}")]
+    share = lambda a, b: F.round(F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0)), 3)
+    rows = F.array(*[F.struct(F.lit(t).alias("tag"), share(f"n_{t}", "_n").alias("edge_share"), share(f"m_{t}", "_m").alias("length_share")) for t in tags])
+    return edges.agg(*sums).select(F.inline(rows))

@@ -1,4 +1,4 @@
-"""One SQL text for Spark and for DuckDB: relations in braces, integer division as {div}, ordered text aggregation by {join}."""
+"""One SQL text for Spark and for DuckDB: relations in braces, integer division as {div}, ordered text aggregation by {join}, SHA-256 by {sha256}."""
 
 from __future__ import annotations
 
@@ -22,11 +22,13 @@ def _doubles(sql: str) -> str:
 
 def spark_text(sql: str) -> str:
     sql = _listed(_doubles(sql), "listagg({0}, ', ') WITHIN GROUP (ORDER BY {1})")
+    sql = re.sub(r"\{sha256:([^}]*)\}", r"sha2(\1, 256)", sql)
     return sql.replace("{div}", "div").replace("{row}", "struct")
 
 
 def duck_text(sql: str) -> str:
     sql = _listed(_doubles(sql), "string_agg({0}, ', ' ORDER BY {1})")
+    sql = re.sub(r"\{sha256:([^}]*)\}", r"sha256(\1)", sql)
     sql = sql.replace("* EXCEPT (", "* EXCLUDE (").replace("{div}", "//").replace("{row}", "row")
     return re.sub(r"\{(\w+)\}", r"\1", sql)
 

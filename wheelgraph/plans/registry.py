@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from ..operators import cluster, graph, routing
 from ..sources import adapters as own
-from . import network
+from . import network, summaries
 from .dialect import duck_text, query, spark_text
 
 SHARED: dict[str, str] = {}
@@ -25,7 +25,9 @@ PLACED = f"SELECT * FROM ({own.DETECTIONS}) d0 WHERE usable AND coalesce(permane
 
 def barrier_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = _read(spark, sf_dir, PLACED, "events").withColumns({"x": F.col("mx"), "y": F.col("my")})
-    return cluster.barriers(cluster.clusters(placed))
+    found = cluster.barriers(cluster.clusters(placed))
+    sources = F.array_join(F.transform(F.map_entries("distance_sources"), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))), ",")
+    return found.withColumns({"image_ids": F.array_join("image_ids", ","), "distance_sources": sources, "views": F.array_join(F.transform("views", lambda v: v["frame_id"]), ",")})
 
 
 QUERIES["barrier_rollup"] = barrier_rollup
@@ -38,9 +40,11 @@ f AS (SELECT cluster, frame_id, max(confidence) AS c FROM c GROUP BY cluster, fr
 g AS (SELECT cluster, least(1 - product(1 - c), 0.97) AS combined FROM f GROUP BY cluster),
 b AS (SELECT cluster, min(type) AS type, sum(confidence * lon) / sum(confidence) AS lon, sum(confidence * lat) / sum(confidence) AS lat, count(*) AS n_detections, count(DISTINCT image_id) AS n_views,
   arg_max(frame_id, row(confidence, -id)) AS best_frame, median(height_cm) AS height, max(captured_at) AS last_seen, string_agg(DISTINCT frame_id, ',' ORDER BY frame_id) AS frame_ids,
-  string_agg(frame_id || '#' || feature_index, '|' ORDER BY frame_id || '#' || feature_index) AS members FROM c GROUP BY cluster)
+  string_agg(frame_id || '#' || feature_index, '|' ORDER BY frame_id || '#' || feature_index) AS members, string_agg(DISTINCT image_id, ',' ORDER BY image_id) AS image_ids,
+  string_agg(frame_id, ',' ORDER BY confidence DESC, id) AS views FROM c GROUP BY cluster),
+h AS (SELECT cluster, string_agg(source || ':' || n, ',' ORDER BY source) AS distance_sources FROM (SELECT cluster, source, count(*) AS n FROM c GROUP BY cluster, source) GROUP BY cluster)
 SELECT type || '-' || substr(sha1(type || '|' || members), 1, 10) AS barrier_id, type, round(combined, 3) AS confidence, round(lon, 6) AS lon, round(lat, 6) AS lat, n_detections, n_views, best_frame,
-  round(CAST(height AS DOUBLE), 2) AS height_cm, last_seen, frame_ids FROM b JOIN g USING (cluster) WHERE NOT (n_detections = 1 AND combined < 0.5)""")
+  round(CAST(height AS DOUBLE), 2) AS height_cm, last_seen, frame_ids, image_ids, distance_sources, views FROM b JOIN g USING (cluster) LEFT JOIN h USING (cluster) WHERE NOT (n_detections = 1 AND combined < 0.5)""")
 
 _IMG = f"({own.IMAGES}) i"
 SHARED["heading_sector"] = f"SELECT id, round({geo.pmod('heading', '360')}, 6) AS heading, {geo.sector('heading')} AS sector, round({geo.angle_diff('heading', 'quality * 36')}, 6) AS turn FROM {_IMG}"
@@ -85,9 +89,13 @@ SHARED["detections_by_type"] = f"SELECT type, count(*) AS n, min(id) AS first_id
 SHARED["detection_stats"] = f"SELECT count(*) AS placed, count_if(usable) AS usable, count_if(source = 'fallback') AS fallback, count(DISTINCT image_id) AS images, round(avg(confidence), 6) AS mean_conf, median(height_cm) AS median_height FROM {_DET}"
 SHARED["barrier_filter"] = f"SELECT id, type, confidence FROM {_DET} WHERE type IN ('stairs', 'raised_curb', 'narrow') AND confidence >= 0.6 AND usable"
 SHARED["predicted_types"] = f"SELECT DISTINCT frame_id, type FROM ({PLACED}) d WHERE confidence >= 0.5"
+#: Cells of 10 m: a mapped object is dealt to its own and the eight around it, a detection to its own.
+_AROUND = "(VALUES (-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 0), (0, 1), (1, -1), (1, 0), (1, 1)) AS s(dx, dy)"
+_OBJECTS = f"SELECT sx, sy, CAST(floor(sx / 10) AS BIGINT) + s.dx AS gx, CAST(floor(sy / 10) AS BIGINT) + s.dy AS gy FROM (SELECT s_suppkey * 37 % 2000 * 1.0 AS sx, s_suppkey * 53 % 2000 * 1.0 AS sy FROM {{supplier}}) o CROSS JOIN {_AROUND}"
+_MAPPED = f"SELECT DISTINCT a.id FROM (SELECT id, mx, my, CAST(floor(mx / 10) AS BIGINT) AS gx, CAST(floor(my / 10) AS BIGINT) AS gy FROM {_DET}) a JOIN ({_OBJECTS}) b ON a.gx = b.gx AND a.gy = b.gy WHERE abs(b.sx - a.mx) <= 10 AND abs(b.sy - a.my) <= 10"
 SHARED["suggestion_reasons"] = f"""SELECT reason, type, count(*) AS n FROM (SELECT type, CASE WHEN type NOT IN ('stairs', 'raised_curb', 'curb_ramp') THEN 'no_tag' WHEN permanence = 'temporary' THEN 'temporary'
   WHEN confidence < 0.8 THEN 'low_confidence' WHEN feature_index = 0 THEN 'few_views' WHEN near_osm THEN 'already_in_osm' END AS reason FROM (
-  SELECT d.*, EXISTS (SELECT 1 FROM (SELECT s_suppkey * 37 % 2000 * 1.0 AS sx, s_suppkey * 53 % 2000 * 1.0 AS sy FROM {{supplier}}) s WHERE abs(s.sx - d.mx) <= 10 AND abs(s.sy - d.my) <= 10) AS near_osm FROM {_DET}) e) r GROUP BY reason, type"""
+  SELECT d.*, m.id IS NOT NULL AS near_osm FROM {_DET} LEFT JOIN ({_MAPPED}) m ON m.id = d.id) e) r GROUP BY reason, type"""
 SHARED["suggestion_tags"] = f"SELECT id, CASE type WHEN 'stairs' THEN 'highway=steps' WHEN 'raised_curb' THEN 'kerb=raised' WHEN 'curb_ramp' THEN 'kerb=lowered' END AS tag, substring_image(frame_id) AS image, left(CAST(captured_at AS STRING), 10) AS day FROM {_DET} WHERE type IN ('stairs', 'raised_curb', 'curb_ramp')".replace("substring_image(frame_id)", "substr(frame_id, 2)")
 _PRED = "SELECT doc_id AS frame_id, CASE WHEN n_chars % 2 = 0 THEN 'stairs' ELSE 'raised_curb' END AS type FROM {documents} WHERE n_chars % 5 <> 0"
 _TRUE = "SELECT doc_id AS frame_id, CASE WHEN quality = 1 THEN 'stairs' ELSE 'raised_curb' END AS type FROM {labels} WHERE quality IS NOT NULL"
@@ -107,7 +115,7 @@ SHARED["ledger_budget"] = "SELECT o_orderkey AS id, calls, running, running <= 1
 SHARED["run_cost"] = "SELECT o_orderpriority AS model, count(*) AS calls, round(avg(CASE WHEN o_orderstatus <> 'P' THEN 1.0 ELSE 0.0 END), 6) AS valid_share, round(sum(o_custkey % 3000 * 0.75 + o_orderkey % 600 * 3.75) / 1000000 / count(*), 9) AS usd_per_call FROM {orders} GROUP BY o_orderpriority"
 SHARED["cache_states"] = "SELECT state, count(*) AS n FROM (SELECT CASE WHEN l.doc_id IS NULL THEN 'miss' WHEN l.quality IS NULL THEN 'failed' WHEN d.n_chars % 7 = 0 THEN 'stale' ELSE 'hit' END AS state FROM {documents} d LEFT JOIN {labels} l ON l.doc_id = d.doc_id) s GROUP BY state"
 SHARED["metrics_upsert"] = "SELECT l_orderkey AS id, l_linenumber AS k, l_quantity AS v FROM {lineitem} l WHERE NOT EXISTS (SELECT 1 FROM {orders} o WHERE o.o_orderkey = l.l_orderkey AND o.o_orderstatus = 'F') UNION ALL SELECT o_orderkey, 0, o_totalprice FROM {orders} WHERE o_orderstatus = 'F'"
-SHARED["client_hash"] = "SELECT id, sha1(concat('salt:', trim(split_part(ip, ',', 1)))) AS client FROM (SELECT event_id AS id, CAST(user_id AS STRING) || ' ,10.0.0.1' AS ip FROM {events}) e"
+SHARED["client_hash"] = "SELECT id, {sha256:concat('salt:', trim(split_part(ip, ',', 1)))} AS client FROM (SELECT event_id AS id, CAST(user_id AS STRING) || ' ,10.0.0.1' AS ip FROM {events}) e"
 SHARED["parse_point"] = "SELECT o_orderkey AS id, try_cast(split_part(t, ',', 1) AS DOUBLE) AS lat, try_cast(split_part(t, ',', 2) AS DOUBLE) AS lon FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'x,' ELSE '52.' || CAST(o_custkey % 1000 AS STRING) || ',8.5' END AS t FROM {orders}) o"
 
 _EDGE = f"({own.EDGES}) e"
@@ -123,8 +131,13 @@ _POINTS = "SELECT p_partkey AS pid, p_partkey * 37 % 1600 + 0.37 AS px, p_partke
 _BUCKET = "SELECT e.*, CAST(floor(x1 / 40) AS BIGINT) + s.dx AS gx, CAST(floor(y1 / 40) AS BIGINT) + s.dy AS gy FROM {edges_} CROSS JOIN (VALUES (-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 0), (0, 1), (1, -1), (1, 0), (1, 1)) AS s(dx, dy)".replace("{edges_}", _EDGE)
 SHARED["snap_to_edge"] = f"""SELECT pid, edge, round(d, 3) AS distance_m, round(t, 6) AS t FROM (SELECT pid, edge, d, t, row_number() OVER (PARTITION BY pid ORDER BY round(d, 6), edge) AS nth FROM (
   SELECT p.pid, e.edge, {_SNAP_D} AS d, {_SNAP_T} AS t FROM ({_POINTS}) p JOIN ({_BUCKET}) e ON e.gx = p.gx AND e.gy = p.gy) c WHERE d <= 12.0) r WHERE nth = 1"""
-SHARED["snap_to_node"] = f"SELECT p.pid, min_by(n.node, {{row}}(round(power(n.x - p.px, 2) + power(n.y - p.py, 2), 6), n.node)) AS node, round(sqrt(min(power(n.x - p.px, 2) + power(n.y - p.py, 2))), 3) AS distance_m FROM ({_POINTS}) p JOIN ({own.NODES}) n ON abs(n.x - p.px) <= 10 AND abs(n.y - p.py) <= 10 WHERE power(n.x - p.px, 2) + power(n.y - p.py, 2) <= 100 GROUP BY p.pid"
-SHARED["covered_edges"] = f"SELECT round(sum(CASE WHEN near THEN 1.0 ELSE 0.0 END) / count(*), 6) AS covered FROM (SELECT e.edge, EXISTS (SELECT 1 FROM ({_POINTS}) p WHERE abs(p.px - (e.x1 + e.x2) / 2) <= 15 AND abs(p.py - (e.y1 + e.y2) / 2) <= 15) AS near FROM {_EDGE}) c"
+_CROSSINGS = f"SELECT n.*, CAST(floor(x / 10) AS BIGINT) + s.dx AS hx, CAST(floor(y / 10) AS BIGINT) + s.dy AS hy FROM ({own.NODES}) n CROSS JOIN {_AROUND}"
+SHARED["snap_to_node"] = f"""SELECT p.pid, min_by(n.node, {{row}}(round(power(n.x - p.px, 2) + power(n.y - p.py, 2), 6), n.node)) AS node, round(sqrt(min(power(n.x - p.px, 2) + power(n.y - p.py, 2))), 3) AS distance_m
+  FROM ({_POINTS}) p JOIN ({_CROSSINGS}) n ON n.hx = CAST(floor(p.px / 10) AS BIGINT) AND n.hy = CAST(floor(p.py / 10) AS BIGINT) WHERE power(n.x - p.px, 2) + power(n.y - p.py, 2) <= 100 GROUP BY p.pid"""
+_MIDDLES = f"SELECT edge, (x1 + x2) / 2 AS ex, (y1 + y2) / 2 AS ey, CAST(floor((x1 + x2) / 30) AS BIGINT) AS hx, CAST(floor((y1 + y2) / 30) AS BIGINT) AS hy FROM {_EDGE}"
+_SEEN = f"SELECT px, py, CAST(floor(px / 15) AS BIGINT) + s.dx AS hx, CAST(floor(py / 15) AS BIGINT) + s.dy AS hy FROM ({_POINTS}) p CROSS JOIN {_AROUND}"
+SHARED["covered_edges"] = f"""SELECT round(count(c.edge) * 1.0 / count(*), 6) AS covered FROM {_EDGE} LEFT JOIN (
+  SELECT DISTINCT m.edge FROM ({_MIDDLES}) m JOIN ({_SEEN}) p ON p.hx = m.hx AND p.hy = m.hy WHERE abs(p.px - m.ex) <= 15 AND abs(p.py - m.ey) <= 15) c ON c.edge = e.edge"""
 SHARED["edge_costs"] = f"""SELECT profile, edge, round(greatest(0.1 * length, length * factor + penalty), 3) AS cost, blocked FROM (SELECT p.profile, e.edge, e.length,
   CASE e.surface WHEN 'BUILDING' THEN 1.5 WHEN 'MACHINERY' THEN p.rough ELSE 1.0 END AS factor, CASE WHEN e.steps THEN p.stairs ELSE 0.0 END AS penalty, p.strict AND (e.steps OR e.wheelchair_no) AS blocked
   FROM {_EDGE} CROSS JOIN (VALUES ('wheelchair', true, 2.0, 400.0), ('stroller', false, 1.8, 60.0), ('suitcase', false, 1.2, 25.0)) AS p(profile, strict, rough, stairs)) c"""
@@ -137,15 +150,15 @@ for _name, _sql in SHARED.items():
 
 
 def edge_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of the network without steps, with nodes and length, longest first; the label is the smallest node."""
-    nodes, edges = _read(spark, sf_dir, own.NODES, "customer"), _read(spark, sf_dir, own.EDGES, "customer").where("NOT steps AND edge % 3 > 0")
+    """Components of the network without steps and unsuitable edges, with nodes and length; the label is the smallest node."""
+    nodes, edges = _read(spark, sf_dir, own.NODES, "customer"), _read(spark, sf_dir, own.EDGES, "customer").where("NOT steps AND NOT wheelchair_no")
     found = graph.components(nodes.select(F.col("node").alias("id")), edges.select(F.col("u").alias("a"), F.col("v").alias("b")))
     length = edges.join(found, edges["u"] == found["id"]).groupBy("component").agg(F.sum("length").alias("metres"))
     return found.groupBy("component").agg(F.count("*").alias("nodes")).join(length, "component", "left").select("component", "nodes", F.coalesce("metres", F.lit(0.0)).alias("metres"))
 
 
 QUERIES["edge_components"] = edge_components
-ORACLES["edge_components"] = duck_text(f"""WITH RECURSIVE n AS ({own.NODES}), e AS (SELECT * FROM ({own.EDGES}) e0 WHERE NOT steps AND edge % 3 > 0),
+ORACLES["edge_components"] = duck_text(f"""WITH RECURSIVE n AS ({own.NODES}), e AS (SELECT * FROM ({own.EDGES}) e0 WHERE NOT steps AND NOT wheelchair_no),
 s AS (SELECT u AS a, v AS b FROM e UNION ALL SELECT v, u FROM e), r(id, reach) AS (SELECT node, node FROM n UNION SELECT r.id, s.b FROM r JOIN s ON s.a = r.reach),
 c AS (SELECT id, min(reach) AS component FROM r GROUP BY id)
 SELECT component, count(*) AS nodes, coalesce(max(m.metres), 0.0) AS metres FROM c LEFT JOIN (SELECT c.component AS k, sum(e.length) AS metres FROM e JOIN c ON c.id = e.u GROUP BY c.component) m ON m.k = c.component GROUP BY component""")
@@ -161,13 +174,13 @@ def matched_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["matched_truth"] = matched_truth
 
 
-_REQUESTS = "SELECT o_orderkey AS request, o_orderkey * 37 % n AS start, o_custkey * 53 % n AS end_ FROM {orders}, (SELECT least(count(*), 1520) AS n FROM {customer}) c WHERE o_orderkey <= 40"
+_REQUESTS = "SELECT s_suppkey AS request, s_suppkey * 37 % n AS start, s_suppkey * 53 % n AS end_ FROM {supplier}, (SELECT count(*) AS n FROM {customer}) c"
 _COSTED = f"SELECT edge, u, v, length, greatest(0.1 * length, length * CASE surface WHEN 'MACHINERY' THEN 2.0 ELSE 1.0 END) AS cost, steps OR wheelchair_no AS blocked FROM {_EDGE}"
 
 
 def accessible_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shortest against accessible routes of a batch of requests over the walking lattice."""
-    requests = _read(spark, sf_dir, _REQUESTS, "orders", "customer").withColumnRenamed("end_", "end")
+    requests = _read(spark, sf_dir, _REQUESTS, "supplier", "customer").withColumnRenamed("end_", "end")
     found = routing.routes(requests, _read(spark, sf_dir, _COSTED, "customer"))
     return found.select("request", "baseline_m", "accessible_m", "violations", "same_route", "warning")
 
@@ -182,5 +195,5 @@ QUERIES |= {"accessible_routes": accessible_routes, "network_distances": network
 #: On the lattice without gaps a shortest path is as long as the steps between rows and columns (all rows are full, so none is cut off).
 ORACLES["network_distances"] = duck_text(f"""SELECT r.request, n.node, 40.0 * (abs(n.node % 40 - r.start % 40) + abs(n.node // 40 - r.start // 40)) AS dist FROM ({own.NODES}) n CROSS JOIN (VALUES (0, 0), (1, 57)) AS r(request, start)""")
 
-QUERIES |= network.QUERIES
-ORACLES |= network.ORACLES
+QUERIES |= network.QUERIES | summaries.QUERIES
+ORACLES |= network.ORACLES | summaries.ORACLES

@@ -25,11 +25,12 @@ DETECTIONS = f"""SELECT id, frame_id, image_id, feature_index, type, confidence,
     event_id * 7919 % (n {{div}} 5 + 1) {{div}} 50 * 40 + (event_id * 17 % 9 - 4) * 0.97 AS my
   FROM {{events}}, (SELECT count(*) AS n FROM {{events}}) c) d"""
 
-#: A walking lattice of 40 columns, 40 m apart; customers stand for crossings.
-NODES = f"SELECT c_custkey AS node, c_custkey % 40 * 40.0 AS x, c_custkey {{div}} 40 * 40.0 AS y, c_mktsegment AS segment FROM {{customer}} WHERE c_custkey < 1520"
-EDGES = f"""SELECT row_number() OVER (ORDER BY u, v) - 1 AS edge, u, v, length, surface, steps, wheelchair_no, x1, y1, x2, y2 FROM (
-  SELECT a.node AS u, b.node AS v, 40.0 AS length, a.segment AS surface, (a.node * 3 + b.node) % 17 = 0 AS steps, (a.node + b.node * 5) % 29 = 0 AS wheelchair_no,
-    a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM ({NODES}) a JOIN ({NODES}) b ON b.node = a.node + 1 AND a.node % 40 <> 39 OR b.node = a.node + 40) e"""
+#: A walking lattice of 40 columns, 40 m apart; every customer stands for a crossing.
+NODES = "SELECT c_custkey AS node, c_custkey % 40 * 40.0 AS x, c_custkey {div} 40 * 40.0 AS y, c_mktsegment AS segment FROM {customer}"
+#: A node has one edge to the east and one to the north at most, which numbers them without a window.
+EDGES = f"""SELECT edge, u, v, 40.0 AS length, surface, (u * 3 + v) % 17 = 0 AS steps, (u + v * 5) % 29 = 0 AS wheelchair_no, x1, y1, x2, y2 FROM (
+  SELECT a.node * 2 AS edge, a.node AS u, b.node AS v, a.segment AS surface, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM ({NODES}) a JOIN ({NODES}) b ON b.node = a.node + 1 WHERE a.node % 40 <> 39
+  UNION ALL SELECT a.node * 2 + 1, a.node, b.node, a.segment, a.x, a.y, b.x, b.y FROM ({NODES}) a JOIN ({NODES}) b ON b.node = a.node + 40) e"""
 
 FEEDBACK = """SELECT event_id AS id, 'b' || CAST(user_id % 50 AS STRING) AS barrier_id, CASE WHEN event_type IN ('click', 'view') THEN 'confirm' ELSE 'reject' END AS verdict,
   ts AS created_at, 'h' || CAST(user_id % 11 AS STRING) AS ip_hash FROM {events}"""
