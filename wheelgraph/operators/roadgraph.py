@@ -76,15 +76,14 @@ def snapped(barriers: DataFrame, edges: DataFrame, curb_points: DataFrame, max_m
 
 
 def on_edges(detected: DataFrame, edges: DataFrame, kerbs: DataFrame) -> DataFrame:
-    """All barriers of the routing graph (ord, id, type, conf, source, t, edge): detected ones, then steps, then mapped kerbs.
+    """All barriers of the routing graph (ord, id, type, conf, source, t, edge): detected ones, by id, then steps, then mapped kerbs.
 
     detected: id, type, conf, edge, t; edges: edge, steps, line; kerbs: osm_id, kerb, x, y."""
-    own = detected.select(F.lit(0).alias("_g"), F.monotonically_increasing_id().alias("_k"), "id", "type", "conf", F.lit("detected").alias("source"), "t", "edge").join(edges.select("edge"), "edge", "left_semi")
+    own = detected.select(F.lit(0).alias("_g"), F.lit(0).cast("long").alias("_k"), "id", "type", "conf", F.lit("detected").alias("source"), "t", "edge").join(edges.select("edge"), "edge", "left_semi")
     steps = edges.where("steps").select(F.lit(1).alias("_g"), F.col("edge").alias("_k"), F.concat(F.lit("osm-steps-"), F.col("edge").cast("string")).alias("id"), F.lit("stairs").alias("type"), F.lit(1.0).alias("conf"), F.lit("osm").alias("source"), F.lit(0.5).alias("t"), "edge")
     kind = F.create_map(*[F.lit(x) for kv in KERBS.items() for x in kv])
     named = kerbs.withColumn("type", F.try_element_at(kind, "kerb")).where("type IS NOT NULL").withColumn("pid", F.col("osm_id"))
     mapped = nearest_edge(named, edges, KERB_M).select(F.lit(2).alias("_g"), F.col("osm_id").alias("_k"), F.concat(F.lit("osm-kerb-"), F.col("osm_id").cast("string")).alias("id"), "type", F.lit(1.0).alias("conf"), F.lit("osm").alias("source"), "t", "edge")
-    own = own.withColumn("_k", F.col("_k").cast("long"))
     together = own.unionByName(steps.withColumn("_k", F.col("_k").cast("long"))).unionByName(mapped.withColumn("_k", F.col("_k").cast("long")))
     return numbered(together, [F.col("_g"), F.col("_k"), F.col("id")], "ord").drop("_g", "_k").withColumn("ord", F.col("ord") - 1)
 
