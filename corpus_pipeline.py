@@ -5,7 +5,7 @@ Parquet and read again as the next stage's docs. All but the last return the
 columns of documents.
 
 language_id       drops documents without letters (or text) and those where no language reaches half of the mixture
-simhash_dedup     keeps the smallest id of every class of near duplicates
+simhash_dedup     keeps the smallest id of every class of near duplicates: five-word shingles, exact Jaccard likeness of 0.8 or more
 decontaminate     drops documents that share a window of ten words with a benchmark item, or all of a shorter item
 pii               replaces personal data by its kind; n_chars is the new length
 packing           cuts the documents' ids into pieces and places them in sequences of 2048
@@ -17,7 +17,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wheelgraph.llm import decontaminate, langid, packing, pii, simhash
+from wheelgraph.llm import decontaminate, jaccard, langid, packing, pii, simhash
 from wheelgraph.llm._common import table, written
 
 LEAST_SHARE = 0.5
@@ -29,7 +29,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs)
+    return simhash.keep_one(docs, found=jaccard.near_duplicates(docs))
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -150,9 +150,10 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     return prints.join(classes(prints), "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of `docs` whose id is its class's smallest, one each (of rows that share it, the smallest text hash); rows without an id stay."""
-    found = near_duplicates(docs, text)
+def keep_one(docs: DataFrame, text: str = "text", found: DataFrame | None = None) -> DataFrame:
+    """The rows of `docs` whose id is its class's smallest, one each (of rows that share it, the smallest text hash); rows without an id stay.
+    found: the classes (doc_id, component_id), if not those of `near_duplicates`."""
+    found = near_duplicates(docs, text) if found is None else found
     kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
     joined = docs.join(kept, docs["doc_id"].cast("long") == kept["kept_id"], "left_semi")
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(text)))
