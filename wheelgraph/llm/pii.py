@@ -30,7 +30,7 @@ from ._common import table
 TRAIN_ROWS = 2400
 PRECISION = 0.98
 
-#: kind: (pattern, test that a text has to pass before the pattern runs). Start conditions and possessive
+#: kind: (pattern, test that every text with a match passes, run before the pattern). Start conditions and possessive
 #: quantifiers keep every pattern linear without changing its leftmost matches.
 BASE = {
     "email": (r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "contains(t, '@')"),
@@ -40,8 +40,8 @@ BASE = {
 }
 EXTRA = {
     "secret": (r"(?i)(?<![A-Za-z])(?:access|api|auth|private|client)?[_-]?(?:token|secret|key|password|passwd|pwd)[\x22\x27]?\s{0,3}[=:]\s{0,3}[\x22\x27]?[A-Za-z0-9+/_-]{8,}+={0,2}", "t RLIKE r'[=:]'"),
-    "token": (r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+", "t RLIKE r'[0-9][A-Za-z0-9+/_-]{9}'"),
-    "phone_local": (r"(?<![0-9+.(-])(?<!\+[0-9]{1,3}[\x20.-])\(?[0-9]{3}\)?[\x20.-]\(?[0-9]{3}\)?[\x20.-][0-9]{4}(?![0-9])", "t RLIKE r'[0-9]{3}[\\x20.-][0-9]{4}'"),
+    "token": (r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+", "t RLIKE r'[A-Za-z0-9+/_-]{20}'"),
+    "phone_local": (r"(?<![0-9+.(-])(?<!\+[0-9]{1,3}[\x20.-])\(?[0-9]{3}\)?[\x20.-]\(?[0-9]{3}\)?[\x20.-][0-9]{4}(?![0-9])", "t RLIKE r'[0-9]{3}\\)?[\\x20.-]\\(?[0-9]'"),
     "ssn": (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "t RLIKE r'[0-9]-[0-9]{2}-[0-9]'"),
     "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", "t RLIKE r'[A-Z]{2}[0-9]{2}'"),
     "email_spelled": (r"(?i)[A-Za-z0-9_%+-][A-Za-z0-9._%+-]{0,63}\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|[\[(]dot[\])])\x20?[A-Za-z0-9-]++)++", "t RLIKE r'(?i)[\\[(]at[\\])]'"),
