@@ -7,9 +7,10 @@ Starting from the best single language, further ones join while the log
 likelihood grows by more than `PENALTY` * ln(trigrams) each and every share
 stays at `LEAST_SHARE` or above. The prediction is the largest share.
 
-The languages come from rows with a non-null lang: the `MAX_LANGS` most
-frequent values, about `TRAIN_DOCS` documents each, drawn by a hash of the id.
-Only `languages x BUCKETS` counts reach the driver. Texts are scored whole in an
+The languages are all non-null values of lang, about `TRAIN_DOCS` documents each,
+drawn by a hash of the id. Only
+`languages x BUCKETS` counts reach the driver. At most `CELLS` probabilities, or
+a text's, are taken from the model at once, however many languages. Texts are scored whole in an
 Arrow function beside the other columns, so there is no shuffle.
 
 Defined results: null, empty and letterless texts are `und` with score 0, as is
@@ -18,6 +19,8 @@ every text when nothing can be learned; a very long text is counted in slices.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,7 +30,7 @@ from ._common import arrow_limits, crc_mod, table
 
 BUCKETS = 1 << 15
 TRAIN_DOCS = 3000
-MAX_LANGS = 64
+CELLS = 1 << 22
 PENALTY = 3.0
 LEAST_SHARE = 0.05
 STEPS = 12
@@ -106,10 +109,24 @@ def mixtures(counts: list[np.ndarray], model: np.ndarray) -> list[tuple[int, flo
     return [(int(b), float(min(max(s, 0), 1)), c) for b, s, c in zip(best, score, chosen, strict=True)]
 
 
+def _runs(counts: list[np.ndarray], langs: int, most: int = CELLS):
+    """`counts` in runs of at most `most` probabilities, at least one text each."""
+    run, cells = [], 0
+    for c in counts:
+        own = int(np.count_nonzero(c)) * langs
+        if run and cells + own > most:
+            yield run
+            run, cells = [], 0
+        run.append(c)
+        cells += own
+    if run:
+        yield run
+
+
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", train_docs: int = TRAIN_DOCS) -> tuple[list[str], np.ndarray]:
     """(languages, languages x BUCKETS probabilities) from rows whose lang and text aren't null."""
     known = docs.select(F.col(lang).cast("string").alias("lang"), F.col("doc_id").cast("long").alias("id"), F.col(text).cast("string").alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    sizes = known.groupBy("lang").count().collect()  # a row a language
     if not sizes:
         return [], np.zeros((0, BUCKETS))
     names = sorted(r["lang"] for r in sizes)
@@ -129,8 +146,9 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", train_docs: int
 
     sums = drawn.select("lang", "text").mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     table_ = np.zeros((len(names), BUCKETS))
-    got = sums.toArrow()  # at most MAX_LANGS x BUCKETS rows
-    table_[[names.index(x) for x in got["lang"].to_pylist()], got["bucket"].to_numpy()] = got["n"].to_numpy()
+    got = sums.toArrow()  # at most languages x BUCKETS rows
+    place = {x: i for i, x in enumerate(names)}
+    table_[[place[x] for x in got["lang"].to_pylist()], got["bucket"].to_numpy()] = got["n"].to_numpy()
     return names, (table_ + 0.1) / (table_ + 0.1).sum(1, keepdims=True)
 
 
@@ -145,7 +163,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "
         found: list[tuple[str, float, str]] = [("und", 0.0, "")] * len(texts)
         some = [(i, c) for i, x in enumerate(texts.to_pylist()) if names and (c := trigrams(x)).any()]
         if some:
-            for (i, _), (best, score, chosen) in zip(some, mixtures([c for _, c in some], sent.value), strict=True):
+            for (i, _), (best, score, chosen) in zip(some, itertools.chain.from_iterable(mixtures(c, sent.value) for c in _runs([c for _, c in some], len(names))), strict=True):
                 found[i] = (names[best], score, ",".join(f"{names[j]}:{s:.3f}" for j, s in chosen))
         return pa.StructArray.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array([x[2] for x in found], pa.string())], ["lang_pred", "score", "languages"])
 
