@@ -25,7 +25,7 @@ LEAST_SHARE = 0.5
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = langid.identify(docs, langid.fit(docs), out="__lid")
-    return found.where((F.col("__lid.lang_pred") != "und") & (F.col("__lid.score") >= LEAST_SHARE)).drop("__lid")
+    return found.where((F.col("__lid.lang_pred") != "und") & (F.col("__lid.share") >= LEAST_SHARE)).drop("__lid")
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ PENALTY = 3.0
 LEAST_SHARE = 0.05
 STEPS = 12
 SLICE = 1 << 20
-RESULT = "struct<lang_pred:string,score:double,languages:string>"
+RESULT = "struct<lang_pred:string,score:double,languages:string,share:double>"
 
 _letters: np.ndarray | None = None
 
@@ -153,19 +153,19 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", train_docs: int
 
 
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text", out: str = "lid") -> DataFrame:
-    """`docs` with `out`: struct<lang_pred, score, languages>; languages lists the chosen set as lang:share."""
+    """`docs` with `out`: struct<lang_pred, score, languages, share>; languages lists the chosen set as lang:share, share is its largest."""
     spark = docs.sparkSession
     arrow_limits(spark)
     names = model[0]
     sent = spark.sparkContext.broadcast(model[1])
 
     def predict(texts: pa.Array) -> pa.Array:
-        found: list[tuple[str, float, str]] = [("und", 0.0, "")] * len(texts)
+        found: list[tuple[str, float, str, float]] = [("und", 0.0, "", 0.0)] * len(texts)
         some = [(i, c) for i, x in enumerate(texts.to_pylist()) if names and (c := trigrams(x)).any()]
         if some:
             for (i, _), (best, score, chosen) in zip(some, itertools.chain.from_iterable(mixtures(c, sent.value) for c in _runs([c for _, c in some], len(names))), strict=True):
-                found[i] = (names[best], score, ",".join(f"{names[j]}:{s:.3f}" for j, s in chosen))
-        return pa.StructArray.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array([x[2] for x in found], pa.string())], ["lang_pred", "score", "languages"])
+                found[i] = (names[best], score, ",".join(f"{names[j]}:{s:.3f}" for j, s in chosen), chosen[0][1])
+        return pa.StructArray.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array([x[2] for x in found], pa.string()), pa.array([x[3] for x in found], pa.float64())], ["lang_pred", "score", "languages", "share"])
 
     predict.__annotations__ = {"texts": pa.Array, "return": pa.Array}
     return docs.withColumn(out, F.arrow_udf(predict, RESULT).asNondeterministic()(docs[text].cast("string")))
@@ -175,4 +175,4 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     docs = docs.withColumn("held_out", crc_mod(F.col("doc_id"), 4) == 2)
     model = fit(docs.where("NOT held_out"))
-    return identify(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lid.*")
+    return identify(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lid.lang_pred", "lid.score", "lid.languages")
