@@ -33,7 +33,7 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate.mark(docs, table(spark, sf_dir, "benchmark"), out="__hits").where("__hits.n_hit = 0").drop("__hits")
+    return decontaminate.mark(docs, table(spark, sf_dir, "benchmark"), out="__hits", unnamed=True).where("__hits.n_hit = 0").drop("__hits")
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,8 +14,8 @@ The benchmark is the small side: it goes to the tasks in blocks of at most
 of more blocks, each scans the documents and the hit runs are united by document.
 
 Defined results: null and empty texts have no words, no hits; rows that share an
-id and a text give equal results; items without an id are not counted and hit
-nothing; equal ids of several items count once.
+id and a text give equal results; items without an id hit in
+the queries (`unnamed`) but are not listed or counted; equal ids of several items count once.
 """
 
 from __future__ import annotations
@@ -64,10 +64,10 @@ def winnowed(h: np.ndarray, window: int = WINNOW) -> np.ndarray:
 class Index:
     """Kept k-grams and short items of a block of the benchmark: [(item id, text)]."""
 
-    def __init__(self, items: list[tuple[int, str | None]]):
+    def __init__(self, items: list[tuple[int | None, str | None]]):
         self.number: dict[bytes, int] = {}
         self.ids, self.words, self.short = [], [], {}
-        for item_id, text in sorted(items, key=lambda x: (x[0], x[1] or "")):
+        for item_id, text in sorted(items, key=lambda x: (x[0] is None, x[0] or 0, x[1] or "")):
             n = np.array([self.number.setdefault(w, len(self.number) + 1) for w in words_of(text)], np.int64)
             if len(n):
                 self.ids.append(item_id)
@@ -116,7 +116,7 @@ class Index:
                         if ids := own.get(tuple(n[p : p + k].tolist())):
                             found.append((p, p + k))
                             items |= ids
-        return len(words), sorted(items), united(found)
+        return len(words), sorted(items - {None}), united(found)
 
     @staticmethod
     def _run(a: np.ndarray, b: np.ndarray, p: int, q: int) -> tuple[int, int]:
@@ -157,10 +157,11 @@ def _scanned(docs: DataFrame, items: list[tuple[int, str]], text: str, out: str)
     return docs.withColumn(out, F.arrow_udf(scan, RESULT).asNondeterministic()(docs[text].cast("string")))
 
 
-def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", out: str = "hits", block_words: int = BLOCK_WORDS) -> DataFrame:
-    """`docs` with `out`: struct<n_words, n_hit, items, runs>. benchmark: item_id, text."""
+def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", out: str = "hits", block_words: int = BLOCK_WORDS, unnamed: bool = False) -> DataFrame:
+    """`docs` with `out`: struct<n_words, n_hit, items, runs>. benchmark: item_id, text.
+    unnamed: items without an id hit too; they are never among `items`."""
     arrow_limits(docs.sparkSession)
-    items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    items = benchmark.where("text IS NOT NULL" if unnamed else "item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     # a block holds fewer words than bytes / 2, so bytes bound it; an item longer than a block is a block's only large one
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-size // (2 * block_words)) or 1
@@ -184,6 +185,6 @@ def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", out: str = "
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    marked = mark(docs, table(spark, sf_dir, "benchmark"))
+    marked = mark(docs, table(spark, sf_dir, "benchmark"), unnamed=True)
     ids = F.expr("array_join(array_sort(transform(hits.items, x -> string(x))), ',')")
     return marked.select("doc_id", "hits.n_words", "hits.n_hit", F.size("hits.items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), (F.col("hits.n_hit") > 0).alias("contaminated"))
