@@ -27,14 +27,15 @@ def edges(spark, rows):
 
 
 def test_snapping_in_two_steps(spark):
-    net = edges(spark, [(0, [(0.0, 0.0), (50.0, 0.0)]), (1, [(50.0, 0.0), (100.0, 0.0)])])
-    curbs = spark.createDataFrame([(0, "node", 50.0, 0.0), (1, "crossing", 75.0, 3.0)], "ord long, kind string, ox double, oy double")
-    rows = [(1, "step", 30.0, 6.0), (2, "step", 30.0, 13.0), (3, "raised_curb", 45.0, 5.0), (4, "curb_ramp", 74.0, 4.0), (5, "curb_ramp", 25.0, 2.0), (6, "stairs", 60.0, 12.0)]
+    net = edges(spark, [(3, [(0.0, 0.0), (0.0, 40.0)]), (4, [(0.0, 40.0), (0.0, 90.0)])])
+    curbs = spark.createDataFrame([(0, "node", 0.0, 40.0), (1, "crossing", -2.0, 70.0), (2, "crossing", 90.0, 90.0)], "ord long, kind string, ox double, oy double")
+    rows = [(1, "narrow", 7.0, 22.0), (2, "narrow", 12.5, 22.0), (3, "raised_curb", 6.0, 47.0), (4, "curb_ramp", -1.0, 69.0), (5, "curb_ramp", 3.0, 20.0), (6, "stairs", 12.0, 55.0), (7, "curb_ramp", 88.0, 88.0)]
     got = {r.pid: r for r in roadgraph.snapped(spark.createDataFrame(rows, "pid long, type string, x double, y double"), net, curbs).collect()}
-    assert (got[1].target, got[1].edge, got[1].snap_m) == ("edge", 0, 6.0)
-    assert got[2].target is None and (got[6].target, got[6].edge) == ("edge", 1)
-    assert (got[3].target, got[3].edge, got[3].on_x) == ("node", 0, 50.0)
-    assert (got[4].target, got[4].edge) == ("crossing", 1) and got[5].target == "edge"
+    assert (got[1].target, got[1].edge, got[1].snap_m) == ("edge", 3, 7.0)
+    assert got[2].target is None and (got[6].target, got[6].edge) == ("edge", 4)
+    assert (got[3].target, got[3].edge, got[3].on_y, got[3].snap_m) == ("node", 3, 40.0, round(math.hypot(6, 7), 6))
+    assert (got[4].target, got[4].edge) == ("crossing", 4) and (got[5].target, got[5].edge) == ("edge", 3)
+    assert (got[7].target, got[7].edge) == ("crossing", None)  # a crossing without an edge near to it
 
 
 def test_nearest_edge_equals_brute_force(spark):
@@ -64,15 +65,12 @@ def test_undirected_and_largest_component(spark):
     assert {r.node for r in roadgraph.largest_component(nodes, e, "nodes").collect()} == {1, 2, 3}
 
 
-def test_barriers_on_edges_and_surfaces(spark):
+def test_barriers_on_edges(spark):
     net = spark.createDataFrame([(0, False, [(0.0, 0.0), (100.0, 0.0)]), (1, True, [(0.0, 50.0), (100.0, 50.0)])], f"edge long, steps boolean, line {LINE}")
     own = spark.createDataFrame([("a", "step", 0.7, 0, 0.25), ("gone", "step", 0.7, 9, 0.5)], "id string, type string, conf double, edge long, t double")
     kerbs = spark.createDataFrame([(7, "flush", 40.0, 4.0), (8, "raised", 40.0, 9.0), (9, "no", 40.0, 0.0)], "osm_id long, kerb string, x double, y double")
     got = [(r.ord, r.id, r.type, r.edge, r.t) for r in roadgraph.on_edges(own, net, kerbs).orderBy("ord").collect()]
     assert got == [(0, "a", "step", 0, 0.25), (1, "osm-steps-1", "stairs", 1, 0.5), (2, "osm-kerb-7", "curb_ramp", 0, 0.4)]
-    df = spark.createDataFrame([(["asphalt", "sett"],), ([],), (["fine_gravel"],), (None,), (["wood"],)], "s array<string>")
-    f = roadgraph.surface_factor(F.col("s"), {"asphalt": 1.0, "sett": 1.8, "gravel": 2.0, "unknown": 1.15}, {"fine_gravel": "gravel"})
-    assert [r[0] for r in df.select(f).collect()] == [1.8, 1.15, 2.0, 1.15, 1.15]
 
 
 def test_truth_views_and_scores(spark):

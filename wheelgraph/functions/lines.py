@@ -45,8 +45,16 @@ def project(line: Column, px: Column, py: Column) -> Column:
 
 
 def _runs(line: Column) -> Column:
-    """Length up to each point."""
-    return F.transform(F.sequence(F.lit(1), F.size(line)), lambda i: length(F.slice(line, F.lit(1), i)))
+    """Length up to each point, in one pass over the segments."""
+    add = lambda z, s: F.concat(z, F.array(F.element_at(z, -1) + s["size"]))
+    return F.aggregate(segments(line), F.array(F.lit(0.0)), add)
+
+
+def runs(line: Column) -> Column:
+    """array<struct<nth, a, b, size, run, total>>: segments with the length before each and of the whole."""
+    total = length(line)
+    dealt = F.arrays_zip(segments(line).alias("s"), F.slice(_runs(line), 1, F.size(line) - 1).alias("m"))
+    return F.transform(dealt, lambda z, i: F.struct(i.alias("nth"), z["s"]["a"].alias("a"), z["s"]["b"].alias("b"), z["s"]["size"].alias("size"), z["m"].alias("run"), total.alias("total")))
 
 
 def at(line: Column, fraction: Column) -> Column:

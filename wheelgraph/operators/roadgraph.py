@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lines
@@ -33,19 +33,28 @@ def largest_component(nodes: DataFrame, edges: DataFrame, by: str = "length") ->
     return nodes.join(kept.select(F.col("id").alias("node")), "node", "left_semi")
 
 
-def nearest_edge(points: DataFrame, edges: DataFrame, reach: float) -> DataFrame:
-    """Points (pid, x, y) with edge, snap_m and t of the nearest edge (edge, line) within `reach`; a tie takes the smallest edge.
+def near_edges(points: DataFrame, edges: DataFrame, reach: float) -> DataFrame:
+    """(pid, edge, d, t, x, y) of all edges (edge, line) within `reach` of points (pid, x, y): distance, fraction and place of
+    the nearest point of each, on the first of equally near segments.
 
-    Edges go to the cells of their segments' boxes widened by `reach`, points to one cell: an equi-join by cell, no pair of all."""
+    Segments go to the cells of their boxes widened by `reach`, points to one cell: an equi-join by cell, no pair of all."""
     size = max(reach * 2, 25.0)
-    seg = edges.select("edge", F.explode(lines.segments(F.col("line"))).alias("s"))
-    span = lambda f, k, d: F.floor((f(f"s.a.{k}", f"s.b.{k}") + d) / size)
-    boxed = seg.select("edge", F.explode(F.sequence(span(F.least, "x", -reach), span(F.greatest, "x", reach))).alias("cx"), "s")
-    boxed = boxed.select("edge", "cx", F.explode(F.sequence(span(F.least, "y", -reach), span(F.greatest, "y", reach))).alias("cy")).distinct()
-    dealt = boxed.join(edges.select("edge", "line"), "edge")
-    near = points.select("pid", "x", "y", F.floor(F.col("x") / size).alias("cx"), F.floor(F.col("y") / size).alias("cy")).join(dealt, ["cx", "cy"])
-    near = near.withColumn("p", lines.project(F.col("line"), F.col("x"), F.col("y"))).where(F.col("p.d") <= reach)
-    best = near.groupBy("pid").agg(F.min(F.struct(F.round("p.d", 6).alias("d"), "edge", F.struct("p.t", "p.x", "p.y").alias("at"))).alias("b"))
+    seg = edges.select("edge", F.inline(lines.runs(F.col("line"))))
+    span = lambda f, k, d: F.floor((f(f"a.{k}", f"b.{k}") + d) / size)
+    dealt = seg.withColumn("cx", F.explode(F.sequence(span(F.least, "x", -reach), span(F.greatest, "x", reach)))).withColumn("cy", F.explode(F.sequence(span(F.least, "y", -reach), span(F.greatest, "y", reach))))
+    near = points.select("pid", F.col("x").alias("px"), F.col("y").alias("py"), F.floor(F.col("x") / size).alias("cx"), F.floor(F.col("y") / size).alias("cy")).join(dealt, ["cx", "cy"])
+    dx, dy = F.col("b.x") - F.col("a.x"), F.col("b.y") - F.col("a.y")
+    f = F.coalesce(F.try_divide((F.col("px") - F.col("a.x")) * dx + (F.col("py") - F.col("a.y")) * dy, F.col("size") * F.col("size")), F.lit(0.0))
+    near = near.withColumn("f", F.greatest(F.lit(0.0), F.least(F.lit(1.0), f))).withColumn("x", F.col("a.x") + F.col("f") * dx).withColumn("y", F.col("a.y") + F.col("f") * dy)
+    near = near.withColumn("d", F.hypot(F.col("px") - F.col("x"), F.col("py") - F.col("y"))).where(F.col("d") <= reach)
+    t = F.coalesce(F.try_divide(F.col("run") + F.col("f") * F.col("size"), F.col("total")), F.lit(0.0))
+    best = near.groupBy("pid", "edge").agg(F.min(F.struct("d", "nth", t.alias("t"), "x", "y")).alias("b"))
+    return best.select("pid", "edge", "b.d", "b.t", "b.x", "b.y")
+
+
+def nearest_edge(points: DataFrame, edges: DataFrame, reach: float) -> DataFrame:
+    """Points (pid, x, y) with edge, snap_m and t of the nearest edge (edge, line) within `reach`; a tie takes the smallest edge."""
+    best = near_edges(points, edges, reach).groupBy("pid").agg(F.min(F.struct(F.round("d", 6).alias("d"), "edge", F.struct("t", "x", "y").alias("at"))).alias("b"))
     return points.join(best, "pid").select(points["*"], F.col("b.edge").alias("edge"), F.col("b.d").alias("snap_m"), F.col("b.at.t").alias("t"), F.col("b.at.x").alias("on_x"), F.col("b.at.y").alias("on_y"))
 
 
@@ -88,15 +97,6 @@ def on_edges(detected: DataFrame, edges: DataFrame, kerbs: DataFrame) -> DataFra
     return numbered(together, [F.col("_g"), F.col("_k"), F.col("id")], "ord").drop("_g", "_k").withColumn("ord", F.col("ord") - 1)
 
 
-def surface_factor(surfaces: Column, table: dict[str, float], aliases: dict[str, str]) -> Column:
-    """The worst multiplier of an edge's surfaces; unlisted ones and none at all count as unknown."""
-    mapped = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv]) if d else F.create_map().cast("map<string,double>")
-    alias = F.create_map(*[F.lit(x) for kv in aliases.items() for x in kv]) if aliases else F.create_map().cast("map<string,string>")
-    unknown = F.lit(float(table.get("unknown", 1.0)))
-    each = F.transform(surfaces, lambda s: F.coalesce(F.try_element_at(mapped(table), F.coalesce(F.try_element_at(alias, s), s)), unknown))
-    return F.coalesce(F.array_max(each), unknown)
-
-
 def tag_shares(edges: DataFrame, tags: list[str]) -> DataFrame:
     """(tag, edge_share, length_share): how much of `edges` (length and a column per tag) bears each tag, in one pass; 0 without edges."""
     sums = [F.count("*").alias("_n"), F.sum("length").alias("_m")]
