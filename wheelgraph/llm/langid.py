@@ -14,7 +14,9 @@ a text's, are taken from the model at once, however many languages. Texts are sc
 Arrow function beside the other columns, so there is no shuffle.
 
 Defined results: null, empty and letterless texts are `und` with score 0, as is
-every text when nothing can be learned; a very long text is counted in slices.
+every text when nothing can be learned; a very long text is counted in slices that carry over, so with the same result;
+of equally likely languages the first by name is taken; repeated rows get equal results and count as often as they occur
+in learning; an empty table gives no rows; a column called like the result is kept under another name (see `beside`).
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import arrow_limits, crc_mod, table
+from ._common import arrow_limits, beside, crc_mod, table
 
 BUCKETS = 1 << 15
 TRAIN_DOCS = 3000
@@ -45,18 +47,21 @@ def trigrams(text: str | None) -> np.ndarray:
     global _letters
     if _letters is None:
         _letters = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
-    total = np.zeros(BUCKETS, np.int64)
-    for at in range(0, len(text or ""), SLICE):
-        cp = np.frombuffer(f" {text[at : at + SLICE].lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+    total, low = np.zeros(BUCKETS, np.int64), (text or "").lower()
+    tail, before = np.zeros(1, np.uint32), False  # the last two of what was counted; whether the last character was a letter
+    for part in itertools.chain((low[at : at + SLICE] for at in range(0, len(low), SLICE)), (" ",)):
+        cp = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32)
         letter = _letters[cp]
         keep = letter.copy()
         keep[1:] |= letter[:-1]  # of a run of other characters, the first stands for all
-        keep[0] = True
-        c = np.where(letter, cp, 0)[keep]
+        keep[0] |= before
+        before = bool(letter[-1])
+        c = np.concatenate([tail, np.where(letter, cp, 0).astype(np.uint32)[keep]])
         mid = np.flatnonzero(c[1:-1])
         if len(mid):
             h = (c[mid] * np.uint32(0x9E3779B1)) ^ (c[mid + 1] * np.uint32(0x85EBCA77)) ^ (c[mid + 2] * np.uint32(0xC2B2AE3D))
             total += np.bincount((h ^ (h >> 15)) % BUCKETS, minlength=BUCKETS)
+        tail = c[-2:]
     return total
 
 
@@ -168,7 +173,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "
         return pa.StructArray.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array([x[2] for x in found], pa.string()), pa.array([x[3] for x in found], pa.float64())], ["lang_pred", "score", "languages", "share"])
 
     predict.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-    return docs.withColumn(out, F.arrow_udf(predict, RESULT).asNondeterministic()(docs[text].cast("string")))
+    return beside(docs, F.arrow_udf(predict, RESULT).asNondeterministic()(docs[text].cast("string")), out)
 
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,9 @@ no shuffle. Only the drawn ids (a bounded number) are broadcast for training.
 
 Defined results: null counts as an empty text and is scored like any other; with
 no labels, or one class only, all scores are the smoothed share of label 1;
-of repeated labels of an id the largest counts; labels without quality don't.
+of repeated labels of an id the largest counts; labels without quality don't;
+repeated rows get equal scores and count as often as they occur in fitting; an empty table gives no rows; a column called
+like the result is kept under another name (see `beside`).
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _gbt
-from ._common import arrow_limits, crc_mod, table
+from ._common import arrow_limits, beside, crc_mod, table
 
 TRAIN_ROWS = 10_000
 THRESHOLD = 0.3
@@ -85,7 +87,7 @@ def score(docs: DataFrame, forest: _gbt.Forest, text: str = "text", out: str = "
         return pa.array(sent.value.probability(x), pa.float64())
 
     predict.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-    return docs.withColumn(out, F.arrow_udf(predict, "double").asNondeterministic()(docs[text].cast("string")))
+    return beside(docs, F.arrow_udf(predict, "double").asNondeterministic()(docs[text].cast("string")), out)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,5 +95,5 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
     held = crc_mod(F.col("doc_id"), 5) == 0
     forest = fit(docs, labels.where(~held))
-    scored = score(docs.select("doc_id", held.alias("held_out"), "text"), forest)
+    scored = score(docs.select("doc_id", held.alias("held_out"), "text"), forest, out="score")
     return scored.select("doc_id", "held_out", "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
