@@ -75,3 +75,13 @@ def test_nulls_repeats_and_keep_one(spark):
     assert kept.columns == df.columns and sorted((r.doc_id or 0) for r in kept.collect()) == [0, 4, 7, 9]
     empty = df.limit(0)
     assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_one(empty).count() == 0
+
+
+def test_a_stage_of_its_own_for_large_buckets(spark):
+    """A bucket is divided before its members meet: with blocks of 16 no group has more than some dozens."""
+    fps = [(i, i) for i in range(400)]  # all within one bucket of the tables that leave the low bits out
+    df = spark.createDataFrame(fps, "id long, fp long")
+    got = {r.u: r.v for r in simhash.components(simhash.links(df, block=16), "a", "b").collect()}
+    assert got == dict.fromkeys(range(1, 400), 0)
+    named = spark.createDataFrame([(1, "a b c d", "x")], "doc_id long, text string, fp string")
+    assert simhash.fingerprints(named).columns == ["doc_id", "text", "fp_before", "fp"]

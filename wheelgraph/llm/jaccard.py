@@ -1,10 +1,12 @@
-"""Near-duplicates by Jaccard likeness of five-word shingles, for the pipeline.
+"""Exact likeness behind the SimHash operator, for the pipeline's near-duplicate stage.
 
 Two texts link if their sets of `WIDTH`-word shingles have a Jaccard likeness of
-`LEAST` or more; a class is a component of links. At 0.8 about 10 of 64 SimHash
-bits differ, which covering tables can't reach, so candidates come from MinHash:
-`BANDS` bands of `ROWS` minima, at likeness s a pair misses all with probability
-(1 - s^ROWS)^BANDS, 1.3e-7 at 0.8. All candidates are then compared exactly.
+`LEAST` or more; a class is a component of links. Candidates come from the covering
+tables of `simhash`, here over five-word shingles. At 0.8 about 10 of 64 SimHash
+bits differ, which covering tables can't reach (radius 10 takes 2,047 tables of few
+bits), so MinHash bands add the rest: `BANDS` bands of `ROWS` minima, at likeness s a
+pair misses all with probability (1 - s^ROWS)^BANDS, 1.3e-7 at 0.8. All candidates
+are then compared exactly.
 
 Copies collapse first. A bucket gives a star of links, never all pairs, and the
 components of these are the candidate groups. Only texts of such groups are
@@ -14,7 +16,8 @@ pair of blocks is a task's work, so its texts are sent once per block.
 Defined results: letter case A-Z and white space don't count; a text of fewer
 words is one shingle; null and empty texts are copies of each other; rows that
 share an id are one document; rows without an id get the class of their words
-but carry no links, and no class if no such row has an id.
+but carry no links, and no class if no such row has an id; other columns are not
+read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,10 +29,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
-
+from ..operators.graph import roots as components
+from . import simhash
 from ._common import arrow_limits, written
-from ._components import components
 
 WIDTH, LEAST = 5, 0.8
 BANDS, ROWS = 40, 5
@@ -119,10 +121,12 @@ def _verify(batches):
 
 
 def candidates(unique: DataFrame) -> DataFrame:
-    """(id, c): members of every candidate group of distinct texts (id, bands), with the group's smallest id."""
+    """(id, c): members of every candidate group of distinct texts (id, fp, bands), with the group's smallest id."""
     met = unique.select("id", F.posexplode("bands").alias("v", "key"))
-    met = met.withColumn("least", F.min("id").over(Window.partitionBy("v", "key"))).where("id != least")
-    found = components(met.select("id", "least").distinct(), "id", "least")
+    # buckets of one member go before the join, whose sides are plain, so that a hot bucket can be split
+    heads = written(met.groupBy("v", "key").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n"), "heads")
+    near = met.join(heads, ["v", "key"]).where("id != least").select("id", "least").distinct()
+    found = components(near.unionByName(simhash.links(unique.select("id", "fp")).select(F.col("a").alias("id"), F.col("b").alias("least"))), "id", "least")
     return found.select(F.col("u").alias("id"), F.col("v").alias("c")).unionByName(found.select(F.col("v").alias("id"), F.col("v").alias("c")).distinct())
 
 
@@ -144,14 +148,16 @@ def near_duplicates(docs: DataFrame, text: str = "text", block: int = BLOCK) ->
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col(text).cast("string").alias("text"))
 
     def prints(texts: pa.Array) -> pa.Array:
-        words = [_words(x) for x in texts.to_pylist()]
+        whole = texts.to_pylist()
+        words = [_words(x) for x in whole]
+        fps = np.array([simhash.simhash(x, WIDTH) for x in whole], np.uint64).view(np.int64)
         same = pa.array([hashlib.blake2b(b" ".join(w), digest_size=16).digest() for w in words], pa.binary())
-        return pa.StructArray.from_arrays([same, pa.array([bands(shingles(w)).view(np.int64) for w in words], pa.list_(pa.int64()))], ["same", "bands"])
+        return pa.StructArray.from_arrays([same, pa.array(fps), pa.array([bands(shingles(w)).view(np.int64) for w in words], pa.list_(pa.int64()))], ["same", "fp", "bands"])
 
     prints.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-    made = F.arrow_udf(prints, "struct<same:binary,bands:array<long>>").asNondeterministic()("text")
+    made = F.arrow_udf(prints, "struct<same:binary,fp:long,bands:array<long>>").asNondeterministic()("text")
     rows = written(texts.select(F.col("id").alias("doc_id"), made.alias("p")).select("doc_id", "p.*"), "bands")
-    unique = written(rows.groupBy("same").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")).where("id IS NOT NULL"), "unique")
+    unique = written(rows.groupBy("same").agg(F.min("doc_id").alias("id"), F.first("fp").alias("fp"), F.first("bands").alias("bands")).where("id IS NOT NULL"), "unique")
     # rows that share an id are one document
     shared = rows.groupBy("doc_id").agg(F.min("same").alias("x"), F.max("same").alias("y")).where("doc_id IS NOT NULL AND x != y").select("doc_id")
     one = rows.select("doc_id", "same").join(shared, "doc_id", "left_semi").join(unique.select("same", "id"), "same").where("doc_id != id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))

@@ -6,15 +6,18 @@ two fingerprints that differ in at most R bits some v is orthogonal to all the
 differing positions' vectors, so the pair meets in table v: no pair is missed.
 
 Copies collapse first: tables hold distinct fingerprints, each with its smallest
-id. Buckets with one member go. In a bucket, members are compared exactly and a
-star of links per component leaves the task, never all pairs. A bucket above
-`BLOCK` members is dealt by hash into blocks, and each pair of blocks is a task
-of its own, so no task holds more than 2 x BLOCK fingerprints, whatever the size.
-Links meet in `_components`.
+id. In a bucket, members are compared exactly and a star of links per component
+leaves the task, never all pairs. Buckets are counted by an aggregation that begins
+before the shuffle; one above `BLOCK` members is dealt by hash into blocks before its
+members meet, and each pair of blocks is a group of its own, of about 2 x BLOCK
+fingerprints, whatever the bucket's size. Partitions hold groups one after the other.
+Links meet in the components of `operators.graph`.
 
 Defined results: null and empty texts have fingerprint zero and link like any
 other; rows that share an id are one document; rows without an id get the class
-of their fingerprint but carry no links, and no class if no such row has an id.
+of their fingerprint but carry no links, and no class if no such row has an id; an
+empty table gives no rows; other columns are not read, but `fingerprints` keeps one
+called like its result under another name.
 """
 
 from __future__ import annotations
@@ -26,8 +29,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import arrow_limits, table, written
-from ._components import components
+from ..operators.graph import roots as components
+from ._common import arrow_limits, beside, table, unused, written
 
 RADIUS = 3
 BLOCK = 2048
@@ -69,7 +72,7 @@ def fingerprints(docs: DataFrame, text: str = "text", out: str = "fp") -> DataFr
         return pa.array(np.array([simhash(x) for x in texts.to_pylist()], np.uint64).view(np.int64), pa.int64())
 
     prints.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-    return docs.withColumn(out, F.arrow_udf(prints, "long").asNondeterministic()(docs[text].cast("string")))
+    return beside(docs, F.arrow_udf(prints, "long").asNondeterministic()(docs[text].cast("string")), out)
 
 
 def stars(ids: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -95,9 +98,10 @@ def _link(batches):
     kept: list[np.ndarray] = []
 
     def out(rows: np.ndarray):
-        cut = np.flatnonzero((rows[1:, :4] != rows[:-1, :4]).any(1)) + 1
+        edge = np.concatenate([[0], np.flatnonzero((rows[1:, :4] != rows[:-1, :4]).any(1)) + 1, [len(rows)]])
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for group in np.split(rows, cut):
+        for k in np.flatnonzero(np.diff(edge) > 1):
+            group = rows[edge[k] : edge[k + 1]]
             x, y = stars(group[:, 4], group[:, 5].view(np.uint64))
             a += x
             b += y
@@ -126,10 +130,11 @@ def links(unique: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFr
     signed = [m - (1 << 64) if m >> 63 else m for m in masks(radius)]
     keys = F.array(*[F.struct(F.lit(v).alias("v"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("key")) for v, m in enumerate(signed)])
     met = unique.select("id", "fp", F.explode(keys).alias("k")).select("id", "fp", "k.*")
-    met = met.withColumn("n", F.count("*").over(Window.partitionBy("v", "key"))).where("n > 1")
-    blocks = F.when(F.col("n") <= block, F.lit(1)).otherwise(F.ceil(F.col("n") / block)).cast("int")
+    # only buckets above a block are joined back; those of one member go in the tasks
+    large = written(met.groupBy("v", "key").agg(F.count("*").alias("n")).where(F.col("n") > block), "large")
+    blocks = F.coalesce(F.ceil(F.col("n") / block), F.lit(1)).cast("int")
     own = F.pmod(F.xxhash64("fp", "v"), blocks).cast("int")
-    dealt = met.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = met.join(large, ["v", "key"], "left").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     dealt = dealt.select("v", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "fp")
     return dealt.repartition("v", "key", "i", "j").sortWithinPartitions("v", "key", "i", "j").mapInArrow(_link, "a long, b long")
 
@@ -157,8 +162,8 @@ def keep_one(docs: DataFrame, text: str = "text", found: DataFrame | None = None
     kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
     joined = docs.join(kept, docs["doc_id"].cast("long") == kept["kept_id"], "left_semi")
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(text)))
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    chosen = joined.withColumn("__nth", first).where("__nth = 1").select(*columns)
+    columns, nth = [F.col(f"`{c}`") for c in docs.columns], unused(docs, "__nth")
+    chosen = joined.withColumn(nth, first).where(F.col(nth) == 1).select(*columns)
     return chosen.unionByName(docs.where("doc_id IS NULL").select(*columns))
 
 
