@@ -3,16 +3,18 @@
 Base spans (email, ip, card, phone) follow fixed patterns and checks and always
 stay. For further kinds, high-recall generators propose spans that may overlap;
 boosted trees score each from its format and the text before it; a threshold
-per kind, calibrated for precision on held-out examples, selects; of selected
+per kind, calibrated for precision on examples held out, selects; of selected
 spans that overlap, the leftmost stays (at one start, the kind listed first).
 
 The trees are fitted on the driver on `TRAIN_ROWS` invented examples that pass
-through the same generator and feature expressions; the text path itself has no
-Python. Work per text is linear in its length and in its spans, and there is no
+through the same generator and feature expressions, and the thresholds calibrated
+on others of these and on `_pii_cases`, which were written apart from them; the
+text path itself has no Python. Work per text is linear in its length and in its spans, and there is no
 shuffle, so neither a hot source nor groups of copies matter.
 
 Defined results: a null or empty text has no spans; a null doc_id stays null;
-repeated rows give repeated results; other columns pass through `detect`.
+repeated rows give repeated results; an empty table gives no rows; other columns
+pass through, one called like the result of `detect` under another name.
 """
 
 from __future__ import annotations
@@ -25,7 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _gbt
-from ._common import table
+from ._pii_cases import CASES
+from ._common import table, unused
 
 TRAIN_ROWS = 2400
 PRECISION = 0.98
@@ -74,18 +77,37 @@ FEATURES = {
 }
 
 
+#: Items that a fold appends one by one before its state is taken up again, and items of a wider division of the same.
+STEP, WIDE = 64, 4096
+
+
+def _let(name: str, value: str, body: str) -> str:
+    """SQL: `body` with `name` bound to the value, evaluated once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def _scan(items: str, kind: str, start: str, after: str, some: str, made: str) -> str:
+    """SQL: in order, for each x of the array `items` with the state p before it, `made` (of type `kind`) where `some` holds.
+
+    p begins as `start` and becomes `after`. Appending to an array copies it, so one fold keeps only the state at each
+    `STEP`th item, and from each of these states a fold of its own appends: the work is linear in the items."""
+    x = lambda sql, i: _let("x", f"n[{i}]", sql)
+    states = f"""aggregate(sequence(0, size(n) - 1), named_struct('p', {start}, 'at', CAST(array() AS array<int>)),
+      (a, i) -> {_let("p", "a.p", f"named_struct('p', {x(after, 'i')}, 'at', IF(i % {STEP} = 0, concat(a.at, array(p)), a.at))")}, a -> a.at)"""
+    block = f"""aggregate(sequence(k * {STEP}, least(k * {STEP} + {STEP - 1}, size(n) - 1)), named_struct('p', q, 'out', CAST(array() AS array<{kind}>)),
+      (a, i) -> {_let("p", "a.p", x(f"named_struct('p', {after}, 'out', IF({some}, concat(a.out, array({made})), a.out))", "i"))}, a -> a.out)"""
+    return _let("n", items, f"CASE WHEN size(n) > 0 THEN flatten(transform({states}, (q, k) -> {block})) ELSE CAST(array() AS array<{kind}>) END")
+
+
 def _found(kind: str, ord_: int, pattern: str, guard: str) -> str:
     """SQL: the spans of one kind in column t. Gaps between matches give the positions in code points."""
     p = f"r'{pattern}'"
     # of an assignment, the span is the value alone
     value = "regexp_extract(x.m, '[A-Za-z0-9+/_-]{8,}={0,2}$', 0)" if kind == "secret" else "x.m"
-    end = "a.pos + length(x.g) + length(x.m)"
+    end = "p + length(x.g) + length(x.m)"
     span = f"named_struct('start', {end} - length({value}), 'ord', {ord_}, 'end', {end}, 'kind', '{kind}', 'value', {value}, 'before', concat(right(x.g, 24), left(x.m, length(x.m) - length({value}))))"
-    return f"""CASE WHEN {guard} THEN aggregate(
-      zip_with(split(t, {p}, -1), regexp_extract_all(t, {p}, 0), (g, m) -> named_struct('g', g, 'm', m)),
-      CAST(named_struct('pos', 0, 'out', array()) AS struct<pos:int,out:array<{SPAN}>>),
-      (a, x) -> named_struct('pos', a.pos + length(x.g) + coalesce(length(x.m), 0), 'out', IF(x.m IS NULL, a.out, concat(a.out, array({span})))),
-      a -> a.out) ELSE CAST(array() AS array<{SPAN}>) END"""
+    pairs = f"zip_with(split(t, {p}, -1), regexp_extract_all(t, {p}, 0), (g, m) -> named_struct('g', g, 'm', m))"
+    return f"""CASE WHEN {guard} THEN {_scan(pairs, SPAN, "0", "p + length(x.g) + coalesce(length(x.m), 0)", "x.m IS NOT NULL", span)} ELSE CAST(array() AS array<{SPAN}>) END"""
 
 
 def _all(kinds: dict, first: int) -> str:
@@ -132,47 +154,66 @@ def _candidates(df: DataFrame) -> DataFrame:
     return df.withColumn("c0", F.expr(_all(EXTRA, len(BASE)))).withColumn("c", F.expr(f"transform(c0, y -> named_struct('s', y, 'f', array({features})))")).drop("c0")
 
 
+def _measured(spark: SparkSession, cases: list[tuple[str, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(case, kind, label, features) of every candidate that the generators find in the cases."""
+    rows = ", ".join("({}, '{}', {})".format(i, t.replace("\\", "\\\\").replace("'", "\\'"), y) for i, (t, y) in enumerate(cases))
+    found = _candidates(spark.sql(f"SELECT * FROM VALUES {rows} AS v(i, t, y)")).select("i", "y", F.explode("c").alias("c"))
+    got = found.select("i", "c.s.kind", "y", "c.f").collect()  # bounded by the cases
+    return tuple(np.array([r[k] for r in got]) for k in range(4))
+
+
 def fit(spark: SparkSession, rows: int = TRAIN_ROWS) -> tuple[_gbt.Forest, dict[str, float]]:
-    """The forest and the threshold of each further kind. Three quarters of the examples fit, the rest calibrates."""
-    examples = spark.sql("SELECT * FROM VALUES " + ", ".join(f"({i}, r'{t}', {y})" for i, (t, y) in enumerate(_invented(rows))) + " AS v(i, t, y)")
-    got = _candidates(examples).select("i", "y", F.explode("c").alias("c")).select("i", "y", "c.s.kind", "c.f").collect()  # bounded by `rows`
-    i, y, kind, x = (np.array([r[k] for r in got]) for k in range(4))
-    forest = _gbt.fit(x[i % 4 > 0], y[i % 4 > 0], trees=24, depth=3, rate=0.3, bins=24)
-    p, thresholds = forest.probability(x), {}
+    """The forest, fitted on three quarters of `rows` invented examples, and the threshold of each further kind: the least
+    at which both the last quarter and the lines written by hand reach `PRECISION`, the greatest if none does."""
+    i, kind, y, x = _measured(spark, _invented(rows))
+    own = i // 2 % 4 > 0  # both labels alternate
+    forest = _gbt.fit(x[own], y[own], trees=24, depth=3, rate=0.3, bins=24)
+    _, kind_, y_, x_ = _measured(spark, CASES)
+    sets, thresholds = [(kind[~own], y[~own], forest.probability(x[~own])), (kind_, y_, forest.probability(x_))], {}
     for k in EXTRA:
-        held = (kind == k) & (i % 4 == 0)
-        cuts = [t for t in np.arange(0.5, 0.99, 0.02) if (sure := held & (p >= t)).any() and y[sure].mean() >= PRECISION]
-        thresholds[k] = float(min(cuts, default=0.98))
+        sure = lambda t: all((y[hit].mean() if (hit := (kind == k) & (p >= t)).any() else 1.0) >= PRECISION for kind, y, p in sets)  # noqa: B023, E731
+        thresholds[k] = round(float(min([t for t in np.arange(0.5, 0.99, 0.02) if sure(t)], default=0.98)), 2)
     return forest, thresholds
 
 
-def detect(df: DataFrame, text: str = "text", model: tuple[_gbt.Forest, dict[str, float]] | None = None) -> DataFrame:
-    """`df` with `pii`: struct<base, added>, arrays of spans (start, ord, end, kind, value, before), sorted."""
-    forest, thresholds = model or fit(df.sparkSession)
+def _spans(found: DataFrame, model: tuple[_gbt.Forest, dict[str, float]]) -> DataFrame:
+    """`found` (with the text as t) with the arrays `base` and `added` of spans, each sorted."""
+    forest, thresholds = model
     score = forest.sql([f"z.f[{i}]" for i in range(len(FEATURES))])
     least = " ".join(f"WHEN '{k}' THEN {v}D" for k, v in thresholds.items())
-    own = [F.col(f"`{c}`") for c in df.columns if c not in ("pii",)]
-    found = df.select(F.struct(*own).alias("row"), F.coalesce(df[text].cast("string"), F.lit("")).alias("t"))
     found = _candidates(found.withColumn("b", F.expr(_all(BASE, 0))))
-    base = F.expr(f"array_sort(filter(b, x -> {_VALID}))")
     chosen = f"array_sort(transform(filter(c, z -> {score} >= CASE z.s.kind {least} END), z -> z.s))"
-    apart = f"""aggregate({chosen}, CAST(named_struct('pos', 0, 'out', array()) AS struct<pos:int,out:array<{SPAN}>>),
-      (a, x) -> IF(x.start >= a.pos, named_struct('pos', x.end, 'out', concat(a.out, array(x))), a), a -> a.out)"""
-    return found.select("row.*", F.struct(base.alias("base"), F.expr(apart).alias("added")).alias("pii"))
+    apart = _scan(chosen, SPAN, "0", "IF(x.start >= p, x.end, p)", "x.start >= p", "x")
+    return found.withColumn("base", F.expr(f"array_sort(filter(b, x -> {_VALID}))")).withColumn("added", F.expr(apart)).drop("b", "c")
+
+
+def _own(df: DataFrame, text: str) -> DataFrame:
+    """The row as a struct beside its text, so that names of its columns clash with none."""
+    return df.select(F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("row"), F.coalesce(df[f"`{text}`"].cast("string"), F.lit("")).alias("t"))
+
+
+def detect(df: DataFrame, text: str = "text", model: tuple[_gbt.Forest, dict[str, float]] | None = None, out: str = "pii") -> DataFrame:
+    """`df` with `out`: struct<base, added>, arrays of spans (start, ord, end, kind, value, before), sorted."""
+    found = _spans(_own(df, text), model or fit(df.sparkSession))
+    names = [unused(df, f"{c}_before") if c.lower() == out.lower() else c for c in df.columns]
+    return found.select(*[F.col(f"row.`{c}`").alias(n) for c, n in zip(df.columns, names, strict=True)], F.struct("base", "added").alias(out))
 
 
 def redact(df: DataFrame, text: str = "text", model: tuple | None = None) -> DataFrame:
-    """`df` with every span of `text` replaced by its kind in angle brackets; overlapping spans are replaced as one. Null stays null."""
-    columns = df.columns
-    # own names, as a table may have columns called t or spans
-    seen = detect(df, text, model).select(F.struct(*[F.col(f"`{c}`") for c in columns if c != "pii"]).alias("row"), F.col("pii"))
-    seen = seen.select("row", F.expr(f"row.`{text}`").alias("t"), F.expr("array_sort(concat(pii.base, pii.added))").alias("spans"))
-    cut = """aggregate(spans, CAST(named_struct('pos', 0, 'out', array()) AS struct<pos:int,out:array<string>>),
-      (a, x) -> IF(x.start < a.pos, named_struct('pos', greatest(a.pos, x.end), 'out', a.out),
-        named_struct('pos', x.end, 'out', concat(a.out, array(substring(t, a.pos + 1, x.start - a.pos), concat('<', upper(x.kind), '>'))))),
-      a -> concat(array_join(a.out, ''), substring(t, a.pos + 1)))"""
-    clean = seen.select("row", F.when(F.size("spans") > 0, F.expr(cut)).otherwise(F.col("t")).alias("t"))
-    return clean.select(*[F.col("t").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in columns if c != "pii"])
+    """`df` with every span of `text` replaced by its kind in angle brackets; overlapping spans are replaced as one, by the
+    kind of the first. Null stays null. The text is cut into parts of `WIDE` and these of `STEP` replacements first, as
+    a cut's cost grows with its place."""
+    seen = _spans(_own(df, text), model or fit(df.sparkSession))
+    kept = _scan("array_sort(concat(base, added))", "struct<p:int,start:int,end:int,kind:string>", "0", "greatest(p, x.end)", "x.start >= p", "named_struct('p', p, 'start', x.start, 'end', x.end, 'kind', x.kind)")
+    upto = lambda i, n: f"least({i} * {n} + {n - 1}, size(e) - 1)"
+    one = "concat(substring(v, e[j].p - e[i * {s}].p + 1, e[j].start - e[j].p), '<', upper(e[j].kind), '>')".format(s=STEP)
+    part = _let("v", f"substring(u, e[i * {STEP}].p - e[h * {WIDE}].p + 1, e[{upto('i', STEP)}].start - e[i * {STEP}].p)", f"array_join(transform(sequence(i * {STEP}, {upto('i', STEP)}), j -> {one}), '')")
+    wide = _let("u", f"substring(t, e[h * {WIDE}].p + 1, e[{upto('h', WIDE)}].start - e[h * {WIDE}].p)", f"array_join(transform(sequence(h * {WIDE // STEP}, least(h * {WIDE // STEP} + {WIDE // STEP - 1}, (size(e) - 1) div {STEP})), i -> {part}), '')")
+    # the state before a replacement is where the one before it ended, as each starts a run of overlapping spans
+    whole = _let("e", kept, f"concat(array_join(transform(sequence(0, (size(e) - 1) div {WIDE}), h -> {wide}), ''), substring(t, last + 1))")
+    seen = seen.withColumn("last", F.expr("array_max(transform(concat(base, added), x -> x.end))"))
+    clean = seen.select("row", F.when(F.size("base") + F.size("added") > 0, F.expr(whole)).otherwise(F.col(f"row.`{text}`").cast("string")).alias("t"))
+    return clean.select(*[F.col("t").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in df.columns])
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
