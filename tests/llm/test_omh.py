@@ -40,3 +40,16 @@ def test_nulls_ties_single_and_empty(spark):
     one = omh.neighbours(spark.createDataFrame(rows[:1], "doc_id long, text string")).collect()
     assert len(one) == 1 and one[0].near_next == 1
     assert omh.neighbours(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_equal_rows_over_many_partitions(spark):
+    rows = [(7, "the same text of some length")] * 300 + [(i, f"other {i}") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = sorted((r.doc_id, r.near_next, r.edited_sha256) for r in omh.neighbours(docs).collect())
+    text = "the same text of some length"
+    half = len(text) // 2
+    same, last = (hashlib.sha256((text[: len(text) - half] + t[:half]).encode()).hexdigest() for t in (text, "other 4"))
+    sevens = [(n, d) for i, n, d in got if i == 7]
+    assert len(got) == 305 and sevens.count((1.0, same)) == 299 and sum(d == last for _, d in sevens) == 1
+    extra = docs.withColumn("omh", docs["doc_id"])
+    assert omh.fingerprint(extra).columns == ["doc_id", "text", "omh_before", "omh"]

@@ -7,12 +7,14 @@ the share of equal slots; as the tuples keep order, it falls with edit distance.
 
 `neighbours` walks the documents by descending id: one range shuffle of the
 texts and a streaming pass per partition. A partition's last document needs the
-next partition's first; these few rows (two per partition) are completed in a
-second step from the written first step.
+next partition's first: these two rows a partition meet in a join by partition
+number, each pair in a task's stream of its own, so no task gathers texts.
 
 Defined results: null counts as empty; an empty text has all slots zero and any
 other text none; a text shorter than K is a single k-mer; rows that share an id
-follow the hash of their texts; null ids come last; a single row is its own next.
+follow the hash of their texts; equal rows are dealt over partitions like others;
+null ids come last; a single row is its own next; an empty table gives no rows;
+`fingerprint` keeps a column called like its result under another name.
 """
 
 from __future__ import annotations
@@ -24,8 +26,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ._common import arrow_limits, table, written
+from ._common import arrow_limits, beside, small_rows, table, written
 
 K, ELL, SLOTS = 8, 2, 64
 _rng = np.random.Generator(np.random.PCG64(3))
@@ -122,20 +125,10 @@ def _walk(batches):
 
 
 def _close(batches):
-    """The edges of all partitions in order: each last document meets the first of the next partition, in a ring."""
-    first = last = None
+    """The last document of each partition with the first one after it."""
     for b in batches:
-        out = []
-        for r in b.to_pylist():
-            if r["role"] == 1:
-                first = first or r
-                if last:
-                    out.append(_row(0, last["doc_id"], last["text"], sketch(last["text"]), r["text"], sketch(r["text"])))
-            else:
-                last = r
-        yield pa.RecordBatch.from_pylist(out, _ARROW)
-    if last:
-        yield pa.RecordBatch.from_pylist([_row(0, last["doc_id"], last["text"], sketch(last["text"]), first["text"], sketch(first["text"]))], _ARROW)
+        rows = [_row(0, i, t, sketch(t), n, sketch(n)) for i, t, n in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), b["following"].to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_pylist(rows, _ARROW)
 
 
 def fingerprint(docs: DataFrame, text: str = "text", out: str = "omh") -> DataFrame:
@@ -146,17 +139,23 @@ def fingerprint(docs: DataFrame, text: str = "text", out: str = "omh") -> DataFr
         return pa.array([to_hex(sketch(x)) for x in texts.to_pylist()], pa.string())
 
     prints.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-    return docs.withColumn(out, F.arrow_udf(prints, "string").asNondeterministic()(docs[text].cast("string")))
+    return beside(docs, F.arrow_udf(prints, "string").asNondeterministic()(docs[text].cast("string")), out)
 
 
 def neighbours(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edited text, and likeness to that and to the next document's."""
     arrow_limits(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
-    order = [F.col("doc_id").desc_nulls_last(), F.col("tie")]
-    walked = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text").mapInArrow(_walk, _SCHEMA), "omh")
-    edges = walked.where("role > 0").repartition(1).sortWithinPartitions("pid", "role")
-    return walked.where("role = 0").select(_FULL).unionByName(edges.mapInArrow(_close, _SCHEMA).select(_FULL))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumns({"tie": F.xxhash64("text"), "nth": F.monotonically_increasing_id()})
+    # the number divides equal rows, whose order doesn't matter
+    order = [F.col("doc_id").desc_nulls_last(), F.col("tie"), F.col("nth")]
+    walked = written(rows.repartitionByRange(*order).sortWithinPartitions(*order[:2]).select("doc_id", "text").mapInArrow(_walk, _SCHEMA), "omh")
+    edges = walked.where("role > 0").select("pid", "role", "doc_id", "text")
+    # a row a partition: the one after it, in a ring
+    ring = edges.where("role = 1").select("pid").withColumn("next", F.coalesce(F.lead("pid").over(Window.orderBy("pid")), F.min("pid").over(Window.partitionBy())))
+    firsts = edges.where("role = 1").select(F.col("pid").alias("next"), F.col("text").alias("following"))
+    met = edges.where("role = 2").join(ring, "pid").join(firsts, "next").select("pid", "doc_id", "text", "following")
+    closed = small_rows(met, "pid").mapInArrow(_close, _SCHEMA)
+    return walked.where("role = 0").select(_FULL).unionByName(closed.select(_FULL))
 
 
 def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
