@@ -53,3 +53,11 @@ def test_nulls_ties_repeats_files_and_empty(spark):
                 refers |= {fields["warc-refers-to"]} if "warc-refers-to" in fields else set()
     assert len(refers) == 1 and refers < ids
     assert warc.read_warc(warc.convert(warc.write_arc(df.limit(0), arcs + "0"), arcs + "0", warcs), warcs).count() == 0
+
+
+def test_a_page_may_have_the_url_of_a_version_record(spark, tmp_path):
+    rows = [(1, "filedesc://x.arc", "p" * 150), (2, "filedesc://", "p" * 150), (3, "http://a b/", ""), (4, "warc://x", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    df.coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: (r.record_type, r.payload_bytes, r.refers_to) for r in warc.op5_warc(spark, str(tmp_path)).collect()}
+    assert got == {1: ("response", 150, None), 2: ("revisit", 150, 1), 3: ("response", 0, None), 4: ("response", 0, None)}

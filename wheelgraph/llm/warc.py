@@ -10,12 +10,15 @@ the earlier in the archives). Record ids derive from the archive's name and the
 record's number, dates from ARC's 14 digits, types from the URL's scheme, and
 digests are SHA-256. `read_warc` reads the result back.
 
-A record is one gzip member. Payloads never take part in a shuffle: only (digest,
-id, place) rows do, and each archive then meets its own decisions. A shard is
-bounded in bytes and records. Files appear by a rename, so repeated tasks are safe.
+A record is one gzip member and is written as it comes, so a shard of `SHARD_BYTES`
+needs the memory of one record. Payloads never take part in a shuffle: only (digest,
+id, place) rows of payloads long enough to be revisited do, and each archive then
+meets its own decisions. Later steps run a task a file. Files appear by a rename, so
+repeated tasks are safe.
 
 Defined results: null html is empty; a null url becomes about:blank and is kept
-percent-encoded otherwise; a null page id is last among equal payloads.
+percent-encoded otherwise, whatever its scheme; a null page id is last among equal
+payloads; other columns are not read; an empty table gives no files and no rows.
 """
 
 from __future__ import annotations
@@ -31,10 +34,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import arrow_limits, open_fs, publish, shared_folder, table, written
+from ._common import Publishing, arrow_limits, open_fs, publish, shared_folder, small_rows, table, written
 
-SHARD_BYTES = 16 << 20
-SHARD_RECORDS = 10_000
+SHARD_BYTES = 1 << 30
+SHARD_RECORDS = 200_000
 REVISIT_BYTES = 100
 DATE = "20000101000000"  # pages carry no fetch time
 FIELDS = {
@@ -69,12 +72,14 @@ def arc_record(version: int, name: str, offset: int, page_id: int | None, url: s
 
 def read_arc(f):
     """Records of an ARC stream (file-like, uncompressed): dicts of the header's fields and `body`; the version record is first."""
-    version = 1
+    version, first = 1, True
     while line := f.readline():
         if line == b"\n":
             continue
         values = line[:-1].decode("ascii", "replace").split(" ")
-        if values[0].startswith("filedesc://"):  # its own line has the fields of the version that its body states
+        # pages may have such a URL, too; the version record is the first of a file
+        is_version, first = first and values[0].startswith("filedesc://"), False
+        if is_version:  # its own line has the fields of the version that its body states
             body = f.read(int(values[-1]))
             version = int(body.split(b" ", 1)[0])
         else:
@@ -123,7 +128,7 @@ def convert_record(name: str, index: int, record: dict, kind: str | None = None,
     """The WARC record of an ARC record; refers: (archive, index, page id) of the response that a revisit repeats."""
     d = record["date"].ljust(14, "0")
     fields = [("WARC-Record-ID", record_id(name, index)), ("WARC-Date", f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z")]
-    if record["url"].startswith("filedesc://"):
+    if index == 0 and record["url"].startswith("filedesc://"):
         return warc_record("warcinfo", [*fields, ("WARC-Filename", name), ("Content-Type", "text/plain")], record["body"])
     fields += [("WARC-Target-URI", record["url"]), ("WARC-IP-Address", record["ip"])]
     if not record["body"].startswith(b"HTTP/"):
@@ -136,41 +141,35 @@ def convert_record(name: str, index: int, record: dict, kind: str | None = None,
     return warc_record("revisit", fields, head)
 
 
-def _spread(df: DataFrame, key: str) -> DataFrame:
-    """The small rows of a manifest, dealt out so that each task opens some files. By a hash of the key: a join's own
-    partitioning by the key would be taken instead, which adaptive execution merges into one task, as the rows are small."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(key))
-
-
 def write_arc(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """ARC files under `folder` from pages (page_id, url, html); one manifest row (name) a file."""
     arrow_limits(pages.sparkSession)
 
     def write(batches):
-        part, nth, size, held = TaskContext.get().partitionId(), 0, 0, []
+        part, nth, out = TaskContext.get().partitionId(), 0, None
         filesystem, root = open_fs(folder)
         filesystem.create_dir(root, recursive=True)
-
-        def close():
-            name, version = f"pages-{part:06d}-{nth:05d}.arc.gz", 1 + (part + nth) % 2
-
-            def fill(out):
-                offset = out.write(_member(arc_start(name, version)))
-                for page_id, url, payload in held:
+        try:
+            for b in batches:
+                for page_id, url, html in zip(b["page_id"].to_pylist(), b["url"].to_pylist(), b["html"].to_pylist(), strict=True):
+                    if out is None:
+                        name, version, size, records = f"pages-{part:06d}-{nth:05d}.arc.gz", 1 + (part + nth) % 2, 0, 0
+                        out = Publishing(filesystem, f"{root}/{name}")
+                        offset = out.write(_member(arc_start(name, version)))
+                    payload = (html or "").encode("utf-8", "surrogatepass")
                     offset += out.write(_member(arc_record(version, name, offset, page_id, url, payload)))
-
-            publish(filesystem, f"{root}/{name}", fill)
-            return pa.RecordBatch.from_pydict({"name": [name]})
-
-        for b in batches:
-            for page_id, url, html in zip(b["page_id"].to_pylist(), b["url"].to_pylist(), b["html"].to_pylist(), strict=True):
-                held.append((page_id, url, (html or "").encode("utf-8", "surrogatepass")))
-                size += len(held[-1][2]) + 200
-                if size >= shard_bytes or len(held) >= SHARD_RECORDS:
-                    yield close()
-                    nth, size, held = nth + 1, 0, []
-        if held:
-            yield close()
+                    size, records = size + len(payload) + 200, records + 1
+                    if size >= shard_bytes or records >= SHARD_RECORDS:
+                        out.publish()
+                        out, nth = None, nth + 1
+                        yield pa.RecordBatch.from_pydict({"name": [name]})
+            if out is not None:
+                out.publish()
+                out = None
+                yield pa.RecordBatch.from_pydict({"name": [name]})
+        finally:
+            if out is not None:
+                out.discard()
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     return written(rows.mapInArrow(write, "name string"), "arc-manifest")
@@ -193,20 +192,21 @@ def scan_arc(manifest: DataFrame, folder: str) -> DataFrame:
                             rows.append({"name": name, "idx": i, "page_id": int(own) if own else None, "bytes": len(payload), "digest": hashlib.sha256(payload).hexdigest()})
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return _spread(manifest, "name").mapInArrow(scan, "name string, idx long, page_id long, bytes long, digest string")
+    return small_rows(manifest, "name").mapInArrow(scan, "name string, idx long, page_id long, bytes long, digest string")
 
 
 def decide(scanned: DataFrame) -> DataFrame:
-    """`scanned` with ref: the first record (place) of an equal payload, null for responses."""
+    """The records of `scanned` that are revisits, with ref: the first record (place) of an equal payload."""
     place = F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", "name", "idx")
-    firsts = scanned.where(F.col("bytes") >= REVISIT_BYTES).groupBy("digest").agg(F.min(place).alias("ref"))
-    joined = scanned.join(firsts, "digest", "left")
-    return joined.withColumn("ref", F.when((F.col("ref.name") != F.col("name")) | (F.col("ref.idx") != F.col("idx")), F.col("ref")))
+    long_ = scanned.where(F.col("bytes") >= REVISIT_BYTES)
+    # digests that occur once have no revisits, so the join meets copies only
+    firsts = long_.groupBy("digest").agg(F.min(place).alias("ref"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return long_.join(firsts, "digest").where((F.col("ref.name") != F.col("name")) | (F.col("ref.idx") != F.col("idx")))
 
 
 def convert(manifest: DataFrame, folder: str, out: str) -> DataFrame:
     """Convert every ARC of the manifest to a WARC under `out`; one manifest row (name) a file."""
-    decided = decide(written(scan_arc(manifest, folder), "arc-scan")).where("ref IS NOT NULL")
+    decided = decide(written(scan_arc(manifest, folder), "arc-scan"))
     decided = decided.select("name", F.struct("idx", F.col("ref.name").alias("of"), F.col("ref.idx").alias("at"), F.col("ref.page_id").alias("page")).alias("d"))
     decided = manifest.join(decided.groupBy("name").agg(F.collect_list("d").alias("revisits")), "name", "left")  # at most SHARD_RECORDS a name
 
@@ -227,7 +227,7 @@ def convert(manifest: DataFrame, folder: str, out: str) -> DataFrame:
                 publish(filesystem, f"{target}/{made}", fill)
                 yield pa.RecordBatch.from_pydict({"name": [made]})
 
-    return written(_spread(decided, "name").mapInArrow(turn, "name string"), "warc-manifest")
+    return written(small_rows(decided, "name").mapInArrow(turn, "name string"), "warc-manifest")
 
 
 def read_warc(manifest: DataFrame, folder: str) -> DataFrame:
@@ -252,7 +252,7 @@ def read_warc(manifest: DataFrame, folder: str) -> DataFrame:
                         rows.append({"page_id": int(page) if page else None, "payload_bytes": int(http["content-length"]), "payload_digest": digest, "record_type": kind, "refers_to": int(refers) if refers else None})
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return _spread(manifest, "name").mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return small_rows(manifest, "name").mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
