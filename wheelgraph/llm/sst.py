@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import arrow_limits, open_fs, publish, shared_folder, table, written
+from ._common import arrow_limits, open_fs, publish, shared_folder, small_rows, table, written
 from ._tokens import encoder
 
 BLOCK_BYTES = 1 << 16
@@ -216,13 +216,13 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0,
             yield close()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
-    return written(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(write, "part long, nth long, path string, entries long, ids long"), "sst-manifest")
+    # the number divides equal rows, whose order doesn't matter
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.col("row")]
+    return written(rows.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order[:2]).select("doc_id", "text").mapInArrow(write, "part long, nth long, path string, entries long, ids long"), "sst-manifest")
 
 
 def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
     """One row per entry, read back from the files: doc_id, start (ids of all entries before it), n_tokens, ids_crc32."""
-    n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # one small row per shard: the running sum needs no more than the manifest
     starts = manifest.withColumn("start", F.coalesce(F.sum("ids").over(Window.orderBy("part", "nth").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
 
@@ -238,7 +238,7 @@ def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
                         start += len(ids)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names)
 
-    return starts.select("path", "start").repartition(n, "path").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return small_rows(starts.select("path", "start"), "path").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op8_sst(spark: SparkSession, sf_dir: str) -> DataFrame:
