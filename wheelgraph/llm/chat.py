@@ -16,10 +16,11 @@ text is the segments in order.
 A conversation's turns meet in one task, as its formatted text is one value;
 nothing else is gathered. Order is by turn (null first), then role, then text.
 
-Defined results: null roles and texts count as empty; a null conv_id is a
-conversation of its own; repeated rows are repeated turns; a table of no known
-layout raises ValueError, a JSON record of none (or no JSON) is dropped into the
-rejects that `canonical_json` returns beside the turns.
+Defined results: null roles and texts count as empty; every row without conv_id is
+a conversation of its own (with a null id), as nothing tells it from the others;
+repeated rows are repeated turns; other columns are not read; an empty table gives
+no rows; a table of no known layout raises ValueError, a JSON record of none (or no
+JSON) is dropped into the rejects that `canonical_json` returns beside the turns.
 """
 
 from __future__ import annotations
@@ -134,7 +135,8 @@ def formatted(turns: DataFrame) -> DataFrame:
     assistant = F.coalesce(F.col("role") == "assistant", F.lit(False))
     parts = F.array(F.struct(head.alias("text"), F.lit(False).alias("loss")), F.struct(escaped(F.col("text")).alias("text"), assistant.alias("loss")), F.struct(F.lit(_END).alias("text"), F.lit(False).alias("loss")))
     one = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), parts.alias("parts"))
-    grouped = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(one)).alias("own"))
+    lone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()).alias("lone")
+    grouped = turns.select("conv_id", lone, one.alias("one")).groupBy("conv_id", "lone").agg(F.array_sort(F.collect_list("one")).alias("own"))
     return grouped.select("conv_id", F.flatten(F.col("own.parts")).alias("segments"))
 
 
@@ -165,11 +167,11 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _SQL_LENGTH = r"length(regexp_replace(replace({0}, '\', '\\'), '([<\[])(/?(s>|INST\]))', '\1\\\2', 'g'))"
 ORACLE = f"""
-WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations
-  UNION ALL SELECT -1, k, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) AS v(k, r))
+WITH c AS (SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS lone, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations
+  UNION ALL SELECT -1, NULL, k, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) AS v(k, r))
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || t || chr(10), '' ORDER BY turn NULLS FIRST, r, t)) AS turns_sha256,
   CAST(sum(CASE WHEN r = 'assistant' THEN length(t) ELSE 0 END) AS BIGINT) AS loss_chars,
   sha256(string_agg(CASE WHEN r = 'assistant' THEN t ELSE '' END, '' ORDER BY turn NULLS FIRST, r, t)) AS loss_sha256,
   CAST(sum({len(_HEAD + _MID + _END)} + {_SQL_LENGTH.format("r")} + {_SQL_LENGTH.format("t")}) AS BIGINT) AS formatted_chars
-FROM c GROUP BY conv_id
+FROM c GROUP BY conv_id, lone
 """
