@@ -49,6 +49,20 @@ def test_nnls_recovers_an_exact_mixture():
     assert [round(v, 3) for v in x] == [7, 5, 3]
 
 
+def test_the_least_squares_place_most_remainders_at_every_size():
+    r = random.Random(8)
+    for docs, least in ((300, 0.6), (1_000, 0.8), (10_000, 0.85), (200_000, 0.9)):
+        counts = Counter(1 + min(2047, int(r.lognormvariate(5.5, 1.0))) for _ in range(docs))
+        assert packing.plan(dict(counts)).solution > least, docs
+    spread = Counter(r.randrange(1, 2048) for _ in range(10_000))
+    assert packing.plan(dict(spread)).solution > 0.9
+    left, want = dict(spread), Counter()
+    for pattern, times in packing.solved(left):
+        assert sum(pattern) == 2048 and times > 0
+        want.update({k: times * pattern.count(k) for k in set(pattern)})
+    assert all(left[k] >= 0 and left[k] + want[k] == spread[k] for k in spread)
+
+
 def test_query_equals_brute_force(spark, sf):
     coder = Encoder(PATH, True)
     got = packing.op6_packing(spark, sf).collect()

@@ -2,18 +2,21 @@
 
 Every document is encoded once; its ids are cut into whole windows and one
 remainder. The histogram of piece lengths (at most `WINDOW` numbers) goes to the
-driver. Pairs and triples of lengths that fill a window exactly are the columns
-of A in  min |A x - h|, x >= 0,  solved by coordinate descent; x is rounded down
-and the rest is packed greedily, always the longest piece that still fits. Should
-that pad more than `MOST_PADDING` of all ids (one length may be a third of all),
-the rest is cut into powers of two and a short end first, which fill windows.
+driver. Combinations of two to `DEPTH` lengths that fill a window exactly are the columns
+of A in  min |A x - h|, x >= 0.  Repeat counts x are rounded in order of size, the
+error of each carried to the next, and what a round leaves is solved again, so
+that counts below one find their places, too. The rest is packed greedily, always
+the longest piece that still fits; pieces whose sequence would pad more than
+`MOST_PADDING` of a window (one length may be a third of all) are cut into powers
+of two and a short end first, which fill windows.
 
 The result is a bounded plan of rows (length, rank interval, first sequence,
 offset): the r-th piece of a length finds its place from r alone. Ranks come from
 counts by partition, so no window or task gathers the pieces of one length.
 
 Defined results: null and empty texts hold the end id alone; rows that share an
-id are packed separately; a null id stays null; an empty table gives no rows.
+id are packed separately; a null id stays null; other columns are not read; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -36,47 +39,84 @@ from ._tokens import encoder
 WINDOW = 2048
 END_ID = 1
 TRIPLES = 6  # triples tried for a length of average count; more in proportion for a commoner one
-SWEEPS = 30
-MOST_PADDING = 0.002  # of all ids; above it, pieces outside the solution are cut
+DEPTH, DEEPEST, SPREAD = 8, 32, 6000
+#: Roots of primes spread the choices of one pattern's pieces apart from each other.
+_ROOTS = np.sqrt([p for p in range(2, 132) if all(p % q for q in range(2, p))])
+SWEEPS = 100
+ROUNDS = 12
+MOST_PADDING = 0.002  # of a window; pieces outside the solution whose sequence would pad more are cut
 
 
 def patterns(counts: dict[int, int], window: int = WINDOW, triples: int = TRIPLES) -> list[tuple[int, ...]]:
-    """Combinations of two or three present lengths that fill the window exactly."""
-    own = sorted(x for x in counts if x < window)
-    have = set(own)
-    out = {(window - a, a) for a in own if 2 * a <= window and window - a in have}
-    mean = sum(counts[x] for x in own) / max(1, len(own))
-    for a in own:
+    """Combinations of present lengths that fill the window exactly: every pair; of the triples with a length `triples` each
+    as its shortest and as its longest but one, more in proportion for commoner lengths; of four to `DEPTH` pieces, and of
+    about as many as a window has on average, those among `SPREAD` evenly spread over the lengths' distribution whose last
+    piece is there."""
+    own = np.array(sorted(x for x in counts if x < window and counts[x] > 0), np.int64)
+    if not len(own):
+        return []
+    have = np.zeros(window + 1, bool)
+    have[own] = True
+    low = own[(2 * own <= window) & have[window - own]]
+    out, mean = {(int(window - a), int(a)) for a in low}, sum(counts[int(x)] for x in own) / len(own)
+    for a in own.tolist():
         tries = triples * math.ceil(counts[a] / mean)
-        fits = [b for b in own if b >= a and window - a - b >= b and window - a - b in have]
-        step = max(1, len(fits) // tries)
-        out |= {(window - a - b, b, a) for b in fits[a % step :: step]}
-        low = [b for b in own if b <= a and a + b < window and window - a - b <= b and window - a - b in have]
-        step = max(1, len(low) // tries)
-        out |= {tuple(sorted((a, b, window - a - b), reverse=True)) for b in low[a % step :: step]}
+        for b in (own[own >= a], own[own <= a]):
+            third = window - a - b
+            fits = b[(third >= np.maximum(a, b)) & have[np.maximum(third, 0)]]
+            for x in fits[a % max(1, len(fits) // tries) :: max(1, len(fits) // tries)].tolist():
+                out.add(tuple(sorted((a, x, window - a - x), reverse=True)))
+    weight = np.cumsum([counts[x] for x in own.tolist()]) / sum(counts[x] for x in own.tolist())
+    at = np.arange(1, SPREAD + 1)[:, None] * _ROOTS[None, : DEEPEST - 1] % 1.0
+    drawn = own[np.minimum(np.searchsorted(weight, at), len(own) - 1)]
+    usual = int(window / (sum(k * counts[k] for k in own.tolist()) / sum(counts[k] for k in own.tolist())))
+    for depth in sorted({*range(4, DEPTH + 1), *range(max(4, usual - 2), min(DEEPEST, usual + 4) + 1)}):
+        some = drawn[:, : depth - 1]
+        last = window - some.sum(1)
+        fits = np.flatnonzero((last > 0) & have[np.maximum(last, 0)])
+        out |= {tuple(sorted((*some[i].tolist(), int(last[i])), reverse=True)) for i in fits.tolist()}
     return sorted(out, reverse=True)
 
 
-def nnls(columns: list[tuple[int, ...]], counts: dict[int, int], sweeps: int = SWEEPS) -> list[float]:
-    """Repeat counts x >= 0 of the patterns that come nearest to the histogram, by coordinate descent on the residual."""
-    left = {k: float(v) for k, v in counts.items()}
-    x = [0.0] * len(columns)
-    sparse = [tuple((k, c.count(k)) for k in dict.fromkeys(c)) for c in columns]
-    norm = [sum(m * m for _, m in s) for s in sparse]
+def nnls(columns: list[tuple[int, ...]], counts: dict[int, int], sweeps: int = SWEEPS) -> np.ndarray:
+    """Repeat counts x >= 0 of the patterns that come nearest to the histogram, by multiplicative steps, each of which
+    lowers |A x - h| and keeps x positive."""
+    size, most = max(max(c) for c in columns) + 1, max(map(len, columns))
+    at = np.array([(*c, *[0] * (most - len(c))) for c in columns])  # no piece has length 0
+    h = np.zeros(size)
+    for k, n in counts.items():
+        if 0 < k < size:
+            h[k] = n
+    back = lambda r: r[at].sum(1)
+    x, target = np.ones(len(columns)), back(h)
     for _ in range(sweeps):
-        moved = 0.0
-        for j, s in enumerate(sparse):
-            step = max(-x[j], sum(left[k] * m for k, m in s) / norm[j])
-            if step:
-                x[j] += step
-                moved += abs(step)
-                for k, m in s:
-                    left[k] -= step * m
-        if moved < 0.01 * len(columns):
-            break
+        ax = np.bincount(at.ravel(), np.repeat(x, most), size)
+        ax[0] = 0
+        x = x * (target / np.maximum(back(ax), 1e-12))
     return x
 
 
+def solved(left: dict[int, int], window: int = WINDOW, rounds: int = ROUNDS):
+    """(pattern, times) of the solution, taken from `left`: solve, round with the error carried on, and solve what is left."""
+    for _ in range(rounds):
+        columns = patterns(left, window)
+        if not columns:
+            return
+        x, error, placed = nnls(columns, left), 0.0, 0
+        for j in np.argsort(-x, kind="stable").tolist():
+            pattern, want = columns[j], float(x[j]) + error
+            times = max(0, min([int(want + 0.5), *(left[k] // pattern.count(k) for k in set(pattern))]))
+            # an error beyond one comes of lengths that are used up, and isn't owed by others
+            error = min(1.0, max(-1.0, want - times))
+            if times:
+                yield pattern, times
+                placed += times
+                for k in pattern:
+                    left[k] -= times
+        if not placed:
+            return
+
+
 def parts(length: int, window: int = WINDOW) -> list[int]:
     """The binary cut of a remainder: its powers of two from window / 2 down to window / 8, then what is left."""
     out = [p for p in (window // 2, window // 4, window // 8) if length & p]
@@ -110,6 +150,7 @@ class Plan:
     cut: dict[int, int]
     base: dict[tuple[int, int], int]
     part_rows: list[tuple[int, int, int, int, int]]
+    solution: float  # the share of the remainders that the least squares placed
 
 
 def plan(counts: dict[int, int], window: int = WINDOW, most_padding: float = MOST_PADDING) -> Plan:
@@ -128,20 +169,18 @@ def plan(counts: dict[int, int], window: int = WINDOW, most_padding: float = MOS
     rows, used = [], dict.fromkeys(counts, 0)
     if left.get(window):
         place(rows, used, (window,), left.pop(window))
-    columns = patterns(left, window)
-    for pattern, x in sorted(zip(columns, nnls(columns, left), strict=True), key=lambda p: -p[1]):
-        times = min([int(x), *(left[k] // pattern.count(k) for k in pattern)])
-        if times > 0:
+    remainders, solution = sum(left.values()), 0
+    for pattern, times in solved(left, window):
+        place(rows, used, pattern, times)
+        solution += times * len(pattern)
+    rest = list(_greedy(dict(left), window))
+    one = sum(k * v for k, v in left.items()) <= window  # what fits one sequence is not worth a cut
+    for pattern, times in rest:
+        if one or window - sum(pattern) <= most_padding * window:
             place(rows, used, pattern, times)
             for k in pattern:
                 left[k] -= times
-    whole = list(_greedy(dict(left), window))
-    padding = sum((window - sum(p)) * t for p, t in whole[:-1])
-    if padding <= most_padding * sum(k * v for k, v in counts.items()):
-        for pattern, times in whole:
-            place(rows, used, pattern, times)
-        return Plan(rows, {}, {}, [])
-    cut, base, pieces_ = dict(used), {}, Counter()
+    cut, base, pieces_ = dict(used) if any(left.values()) else {}, {}, Counter()
     for k in sorted(x for x, v in left.items() if v > 0):
         for p in parts(k, window):
             base[p, k] = pieces_[p]
@@ -149,7 +188,7 @@ def plan(counts: dict[int, int], window: int = WINDOW, most_padding: float = MOS
     part_rows, part_used = [], dict.fromkeys(pieces_, 0)
     for pattern, times in _greedy(dict(pieces_), window):
         place(part_rows, part_used, pattern, times)
-    return Plan(rows, cut, base, part_rows)
+    return Plan(rows, cut, base, part_rows, solution / remainders if remainders else 1.0)
 
 
 def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
