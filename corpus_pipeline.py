@@ -5,7 +5,8 @@ Parquet and read again as the next stage's docs. All but the last return the
 columns of documents.
 
 language_id       drops documents without letters (or text) and those where no language reaches half of the mixture
-simhash_dedup     keeps the smallest id of every class of near duplicates: five-word shingles, exact Jaccard likeness of 0.8 or more
+simhash_dedup     keeps the smallest id of every class of near duplicates: five-word shingles, exact Jaccard likeness of 0.8 or more;
+                  candidates come from the SimHash operator's covering tables and from MinHash bands, as 3 of 64 bits miss most such pairs
 decontaminate     drops documents that share a window of ten words with a benchmark item, or all of a shorter item
 pii               replaces personal data by its kind; n_chars is the new length
 packing           cuts the documents' ids into pieces and places them in sequences of 2048
@@ -18,14 +19,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wheelgraph.llm import decontaminate, jaccard, langid, packing, pii, simhash
-from wheelgraph.llm._common import table, written
+from wheelgraph.llm._common import table, unused, written
 
 LEAST_SHARE = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = langid.identify(docs, langid.fit(docs), out="__lid")
-    return found.where((F.col("__lid.lang_pred") != "und") & (F.col("__lid.share") >= LEAST_SHARE)).drop("__lid")
+    lid = unused(docs, "__lid")
+    found = langid.identify(docs, langid.fit(docs), out=lid)
+    return found.where((F.col(f"{lid}.lang_pred") != "und") & (F.col(f"{lid}.share") >= LEAST_SHARE)).drop(lid)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +35,7 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate.mark(docs, table(spark, sf_dir, "benchmark"), out="__hits", unnamed=True).where("__hits.n_hit = 0").drop("__hits")
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

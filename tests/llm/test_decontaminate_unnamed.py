@@ -17,5 +17,5 @@ def test_items_without_an_id_hit_but_are_not_listed(spark, tmp_path):
     table = spark.read.parquet(f"{tmp_path}/documents.parquet")
     assert [r.doc_id for r in p.remove_benchmark(spark, table, str(tmp_path)).collect()] == [5]
     bench = spark.read.parquet(f"{tmp_path}/benchmark.parquet")
-    hits = {r.doc_id: r.hits.n_hit for r in d.mark(table, bench, block_words=10, unnamed=True).collect()}
+    hits = {r.doc_id: r.hits.n_hit for r in d.mark(table, bench, unnamed=True).collect()}
     assert hits == {1: 14, 2: 3, 3: 2, 4: 14, 5: 0}

@@ -1,8 +1,8 @@
 import corpus_pipeline as p
 
 from tests.llm.test_decontaminate import brute as shared
+from tests.llm.test_jaccard import classes
 from tests.llm.test_pii import base
-from tests.llm.test_simhash import brute, classes
 from wheelgraph.llm._common import written
 
 
@@ -18,7 +18,7 @@ def test_stages_equal_brute_force(spark, sf):
     before = spark.read.parquet(f"{sf}/documents.parquet").collect()
     kept = {r.doc_id for r in rows["language_id"]}
     assert all(r.doc_id in kept for r in before if any(c.isalpha() for c in r.text or "") and len(r.text) > 200)
-    own = classes([(r.doc_id, brute(r.text)) for r in rows["language_id"]])
+    own = classes([(r.doc_id, r.text) for r in rows["language_id"]])
     assert {r.doc_id for r in rows["simhash_dedup"]} == set(own.values()) and len(rows["simhash_dedup"]) == len(set(own.values()))
     clean = {r.doc_id for r in rows["simhash_dedup"] if not shared(r.text, items)[1]}
     assert {r.doc_id for r in rows["decontaminate"]} == clean
@@ -33,3 +33,21 @@ def test_empty_table(spark, sf):
     for _, stage in p.STAGES:
         docs = written(stage(spark, docs, sf), "empty")
         assert docs.count() == 0
+
+
+def test_odd_rows_go_through_every_stage(spark, sf, tmp_path):
+    """Nulls in every column, repeated rows, names that the stages use themselves, and a long text."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("lang IS NOT NULL").limit(40)
+    names = docs.columns
+    nulls = spark.createDataFrame([tuple(None for _ in names)] * 2, docs.schema)
+    long = docs.limit(1).selectExpr("CAST(7000001 AS bigint) AS doc_id", "repeat(concat(text, ' '), 400) AS text", *[c for c in names if c not in ("doc_id", "text")]).select(*names)
+    whole = docs.unionByName(docs.limit(5)).unionByName(nulls).unionByName(long)
+    own = ["__lid", "hits", "pii", "row", "t", "fp", "nth", "__nth", "score", "start", "length", "rank", "found"]
+    for c in own:
+        whole = whole.withColumn(c, whole["doc_id"].cast("string"))
+    for name, stage in p.STAGES:
+        whole = written(stage(spark, whole, sf), "odd")
+        if name != "packing":
+            assert whole.columns == [*names, *own] and whole.count() > 20, name
+            assert whole.where("NOT row <=> CAST(doc_id AS string)").count() == 0
+    assert whole.count() > 20

@@ -1,53 +1,72 @@
 """Benchmark decontamination by winnowing.
 
-Words of the benchmark get numbers; any other word is 0. Of every `WINNOW`
-successive k-grams (k = `GRAM` words) the one with the smallest hash is kept, the
-rightmost of equals, in items and documents alike. Any shared run of
-`WINDOW` = GRAM + WINNOW - 1 words therefore shares a kept k-gram. Kept k-grams
-of documents are looked up among the benchmark's, and each hit is extended to both
-sides word by word; a common run of WINDOW or more words is a hit. Numbers, not
-hashes, are compared, so results are exact. Items of fewer words are one window:
-their whole word sequence is looked up at every position.
-
-The benchmark is the small side: it goes to the tasks in blocks of at most
-`BLOCK_WORDS` words. One block is the usual case and needs no shuffle at all;
-of more blocks, each scans the documents and the hit runs are united by document.
+Of every `WINNOW` successive k-grams (k = `GRAM` words) of a text the one with the
+smallest hash is kept, the rightmost of equals, in items and documents alike. Any
+shared run of `WINDOW` = GRAM + WINNOW - 1 words therefore shares a kept k-gram.
+A document's kept k-grams that the benchmark may have are extended to the windows
+of WINDOW words around them, and these meet the benchmark's in a join on their
+words, so results are exact. Items of fewer words are one window of their own.
+
+A frequent k-gram meets no list of its places: each window of a document is one
+row, with all the places where it stands there, and meets one row of the benchmark.
+Items that share a window are a set with a name of its own; a document meets each
+of its sets once, however many windows led to it.
+
+What the benchmark may have is told by two bit filters, of kept k-grams and of
+windows, of `FILTER_BITS` bits each at most whatever the benchmark's size; a filter
+only saves rows, the join decides. Documents are read once; texts are shuffled only
+where a document shows a candidate.
 
 Defined results: null and empty texts have no words, no hits; rows that share an
-id and a text give equal results; items without an id hit in
-the queries (`unnamed`) but are not listed or counted; equal ids of several items count once.
+id and a text give equal results; items without an id hit in the queries (`unnamed`)
+but are not listed or counted; equal ids of several items count once; empty tables
+give no rows, or rows without hits; a column called like the result is kept under
+another name.
 """
 
 from __future__ import annotations
 
-import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import arrow_limits, table, written
+from ._common import arrow_limits, remove, table, unused, written
 
 WINDOW, GRAM = 10, 5
 WINNOW = WINDOW - GRAM + 1
-BLOCK_WORDS = 4_000_000
+#: The most bits of a filter, as a power of two: 8 MB. Fewer are taken for small benchmarks, about 16 an entry.
+FILTER_BITS = 26
+KEPT = 500_000
 RESULT = "struct<n_words:long,n_hit:long,items:array<long>,runs:array<struct<s:long,e:long>>>"
 #: One byte for each: word bytes stay (A-Z lower-cased), all others become spaces. UTF-8 beyond ASCII is word bytes only.
 _WORDS = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
+_hash: dict[bytes, int] = {}
 
 
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_WORDS).split()
 
 
+def _numbers(words: list[bytes]) -> np.ndarray:
+    """Hashes of words; those met lately are kept."""
+    if len(_hash) > KEPT:
+        _hash.clear()
+    for w in set(words).difference(_hash):
+        _hash[w] = xxhash.xxh64_intdigest(w)
+    return np.fromiter(map(_hash.__getitem__, words), np.uint64, len(words))
+
+
 def _grams(n: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of all k-grams of word numbers."""
-    h = np.zeros(max(0, len(n) - k + 1), np.uint64)
+    """Hashes of all runs of k words, by the words' hashes."""
+    h = np.full(max(0, len(n) - k + 1), k, np.uint64)
     for j in range(k):
-        h = (h ^ n[j : j + len(h)].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ n[j : j + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
-    return h
+    return h * np.uint64(0xBF58476D1CE4E5B9)
 
 
 def winnowed(h: np.ndarray, window: int = WINNOW) -> np.ndarray:
@@ -61,74 +80,6 @@ def winnowed(h: np.ndarray, window: int = WINNOW) -> np.ndarray:
     return np.unique(best)
 
 
-class Index:
-    """Kept k-grams and short items of a block of the benchmark: [(item id, text)]."""
-
-    def __init__(self, items: list[tuple[int | None, str | None]]):
-        self.number: dict[bytes, int] = {}
-        self.ids, self.words, self.short = [], [], {}
-        for item_id, text in sorted(items, key=lambda x: (x[0] is None, x[0] or 0, x[1] or "")):
-            n = np.array([self.number.setdefault(w, len(self.number) + 1) for w in words_of(text)], np.int64)
-            if len(n):
-                self.ids.append(item_id)
-                self.words.append(n)
-        hashes, item, at = [], [], []
-        for i, n in enumerate(self.words):
-            if len(n) < WINDOW:
-                self.short.setdefault(len(n), {}).setdefault(tuple(n.tolist()), set()).add(self.ids[i])
-                continue
-            h = _grams(n, GRAM)
-            kept = winnowed(h)
-            hashes.append(h[kept]), item.append(np.full(len(kept), i)), at.append(kept)
-        h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        order = h.argsort(kind="stable")
-        self.hash = h[order]
-        self.item = np.concatenate(item)[order] if item else np.zeros(0, np.int64)
-        self.at = np.concatenate(at)[order] if at else np.zeros(0, np.int64)
-        self.short_hash = {k: np.unique(_grams(np.array(list(v)).ravel(), k)[::k]) for k, v in self.short.items()}
-
-    def scan(self, text: str | None) -> tuple[int, list[int], list[tuple[int, int]]]:
-        """(words, sorted ids of items with a hit, disjoint sorted runs of hit words)."""
-        get = self.number.get
-        words = words_of(text)
-        n = np.array([get(w, 0) for w in words], np.int64)
-        found, items = [], set()
-        known = n > 0
-        if known.any():
-            h = _grams(n, GRAM)
-            kept = winnowed(h)
-            left = np.searchsorted(self.hash, h[kept], side="left")
-            right = np.searchsorted(self.hash, h[kept], side="right")
-            done: dict[tuple[int, int], int] = {}  # (item, diagonal): end of the last run seen
-            for p, a, b in zip(kept[right > left].tolist(), left[right > left].tolist(), right[right > left].tolist(), strict=True):
-                for e in range(a, b):
-                    i, q = int(self.item[e]), int(self.at[e])
-                    if done.get((i, p - q), -1) > p:
-                        continue
-                    s, t = self._run(n, self.words[i], p, q)
-                    done[i, p - q] = max(t, p + 1)
-                    if t - s >= WINDOW:
-                        found.append((s, t))
-                        items.add(self.ids[i])
-            for k, own in self.short.items():
-                if len(n) >= k:
-                    for p in np.flatnonzero(np.isin(_grams(n, k), self.short_hash[k])).tolist():
-                        if ids := own.get(tuple(n[p : p + k].tolist())):
-                            found.append((p, p + k))
-                            items |= ids
-        return len(words), sorted(items - {None}), united(found)
-
-    @staticmethod
-    def _run(a: np.ndarray, b: np.ndarray, p: int, q: int) -> tuple[int, int]:
-        """The longest run of equal words around a[p] and b[q], as an interval of a; empty if these differ."""
-        m = min(len(a) - p, len(b) - q)
-        same = a[p : p + m] == b[q : q + m]
-        t = p + (m if same.all() else int(same.argmin()))
-        m = min(p, q)
-        same = a[p - m : p][::-1] == b[q - m : q][::-1]
-        return p - (m if same.all() else int(same.argmin())), t
-
-
 def united(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for s, t in sorted(runs):
@@ -139,52 +90,155 @@ def united(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(s, t) for s, t in out]
 
 
-def _scanned(docs: DataFrame, items: list[tuple[int, str]], text: str, out: str) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(items)
-    held: list[Index] = []
-
-    def scan(texts: pa.Array) -> pa.Array:
-        if not held:
-            held.append(Index(sent.value))
-        rows = [held[0].scan(t) for t in texts.to_pylist()]
-        run = pa.struct([("s", pa.int64()), ("e", pa.int64())])
-        return pa.StructArray.from_arrays([
-            pa.array([r[0] for r in rows], pa.int64()), pa.array([sum(t - s for s, t in r[2]) for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int64())),
-            pa.array([[{"s": s, "e": t} for s, t in r[2]] for r in rows], pa.list_(run)),
-        ], ["n_words", "n_hit", "items", "runs"])
-
-    scan.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-    return docs.withColumn(out, F.arrow_udf(scan, RESULT).asNondeterministic()(docs[text].cast("string")))
-
-
-def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", out: str = "hits", block_words: int = BLOCK_WORDS, unnamed: bool = False) -> DataFrame:
+class Filter:
+    """Which hashes may be in a set, by the leading bits of each."""
+
+    def __init__(self, bits: int, slots: np.ndarray, masks: np.ndarray):
+        self.shift = np.uint64(64 - bits)
+        self.words = np.zeros(1 << bits - 6, np.uint64)
+        self.words[slots] = masks
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        at = h >> self.shift
+        return (self.words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) > 0
+
+
+def windows(words: list[bytes], grams: Filter, whole: Filter, short: list[int]) -> dict[str, list[int]]:
+    """The windows of a document that may be the benchmark's, each with its places in order."""
+    found: dict[str, list[int]] = {}
+    n = _numbers(words)
+
+    def add(starts: np.ndarray, k: int) -> None:
+        for s in starts.tolist():
+            found.setdefault(b" ".join(words[s : s + k]).decode("utf-8", "surrogatepass"), []).append(s)
+
+    if len(n) >= WINDOW:
+        h = _grams(n, GRAM)
+        kept = winnowed(h)
+        if len(kept := kept[grams(h[kept])]):
+            starts = np.unique(kept[:, None] - np.arange(WINNOW))
+            starts = starts[(starts >= 0) & (starts <= len(n) - WINDOW)]
+            add(starts[whole(_grams(n, WINDOW)[starts])], WINDOW)
+    for k in short:
+        if len(n) >= k:
+            add(np.flatnonzero(whole(_grams(n, k))), k)
+    return found
+
+
+def _items(batches):
+    """Of each item its windows (w) and, without w, its kept k-grams."""
+    for b in batches:
+        item, words, k, h = [], [], [], []
+        for item_id, text in zip(b["item_id"].to_pylist(), b["text"].to_pylist(), strict=True):
+            own = words_of(text)
+            if not own:
+                continue
+            n, size = _numbers(own), min(WINDOW, len(own))
+            grams = _grams(n, size)
+            item += [item_id] * len(grams)
+            words += [b" ".join(own[s : s + size]).decode("utf-8", "surrogatepass") for s in range(len(grams))]
+            k += [size] * len(grams)
+            h.append(grams)
+            if size == WINDOW:
+                g = _grams(n, GRAM)
+                kept = g[winnowed(g)]
+                item += [None] * len(kept)
+                words += [None] * len(kept)
+                k += [GRAM] * len(kept)
+                h.append(kept)
+        if h:
+            yield pa.RecordBatch.from_arrays([pa.array(item, pa.int64()), pa.array(words, pa.string()), pa.array(k, pa.int32()), pa.array(np.concatenate(h).view(np.int64))], ["item", "w", "k", "h"])
+
+
+def _filter(rows: DataFrame, n: int) -> Filter:
+    """The filter of `rows` (h), about 16 bits for each of the `n`; its bits are put together before they reach the driver."""
+    bits = min(FILTER_BITS, max(12, math.ceil(math.log2(n + 1)) + 4))
+    slot = F.shiftrightunsigned("h", 64 - bits)
+    bit = F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(h, {64 - bits}) & 63 AS INT))")
+    got = rows.groupBy(F.shiftright(slot, 6).alias("slot")).agg(F.bit_or(bit).alias("mask")).toArrow()  # at most 2^(bits - 6) rows
+    return Filter(bits, got["slot"].to_numpy(), got["mask"].to_numpy().view(np.uint64))
+
+
+class Benchmark:
+    """The benchmark's windows (w, set), its sets of items (set, items), filters, and lengths of the items shorter than a window."""
+
+    def __init__(self, benchmark: DataFrame, unnamed: bool = False):
+        arrow_limits(benchmark.sparkSession)
+        items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+        items = items.where("text IS NOT NULL" if unnamed else "text IS NOT NULL AND item_id IS NOT NULL")
+        whole = F.col("w").isNotNull()
+        rows = written(items.mapInArrow(_items, "item long, w string, k int, h long"), "benchmark", whole=F.count_if(whole), grams=F.count_if(~whole))
+        self.grams, self.whole = _filter(rows.where(~whole), rows.measured["grams"]), _filter(rows.where(whole), rows.measured["whole"])
+        self.short = sorted(r[0] for r in rows.where(whole & (F.col("k") < WINDOW)).select("k").distinct().collect())  # below WINDOW
+        owned = rows.where(whole).groupBy("w").agg(F.array_sort(F.collect_set("item")).alias("items"))
+        owned = written(owned.withColumn("set", F.md5(F.array_join("items", ",").cast("binary"))), "windows")
+        self.windows, self.sets = owned.select("w", "set"), owned.groupBy("set").agg(F.first("items").alias("items"))
+        remove(rows)
+
+
+def _runs(at: pa.Array) -> pa.Array:
+    """Disjoint sorted runs of hit words from windows with their places."""
+    run = pa.struct([("s", pa.int64()), ("e", pa.int64())])
+    return pa.array([[{"s": s, "e": e} for s, e in united([(s, s + x["k"]) for x in found for s in x["starts"]])] for found in at.to_pylist()], pa.list_(run))
+
+
+def _seen(docs: DataFrame, known: Benchmark, text: str, keep_text: bool) -> DataFrame:
+    """A written row per row of `docs`: its columns as `row`, a number, n_words and the candidate windows."""
+    sent = docs.sparkSession.sparkContext.broadcast((known.grams, known.whole, known.short))
+    found = pa.struct([("w", pa.string()), ("starts", pa.list_(pa.int32()))])
+
+    def look(texts: pa.Array) -> pa.Array:
+        words = [words_of(x) for x in texts.to_pylist()]
+        cases = [[{"w": w, "starts": s} for w, s in windows(x, *sent.value).items()] for x in words]
+        return pa.StructArray.from_arrays([pa.array([len(x) for x in words], pa.int64()), pa.array(cases, pa.list_(found))], ["n_words", "found"])
+
+    look.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    made = F.arrow_udf(look, "struct<n_words:long,found:array<struct<w:string,starts:array<int>>>>").asNondeterministic()
+    columns = [F.col(f"`{c}`") for c in docs.columns if keep_text or c != text]
+    rows = docs.select(F.struct(*columns).alias("row"), F.monotonically_increasing_id().alias("nth"), made(docs[f"`{text}`"].cast("string")).alias("m"))
+    return written(rows.select("row", "nth", "m.n_words", "m.found"), "seen")
+
+
+def _hits(seen: DataFrame, known: Benchmark) -> DataFrame:
+    """(nth, starts, k, set): the candidates that are the benchmark's."""
+    each = seen.where(F.size("found") > 0).select("nth", F.explode("found").alias("f")).select("nth", "f.w", "f.starts")
+    return each.join(known.windows, "w").select("nth", "starts", F.size(F.split("w", " ")).alias("k"), "set")
+
+
+def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", out: str = "hits", unnamed: bool = False, keep_text: bool = True) -> DataFrame:
     """`docs` with `out`: struct<n_words, n_hit, items, runs>. benchmark: item_id, text.
-    unnamed: items without an id hit too; they are never among `items`."""
-    arrow_limits(docs.sparkSession)
-    items = benchmark.where("text IS NOT NULL" if unnamed else "item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    # a block holds fewer words than bytes / 2, so bytes bound it; an item longer than a block is a block's only large one
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = -(-size // (2 * block_words)) or 1
-    if blocks == 1:
-        return _scanned(docs, [tuple(r) for r in items.collect()], text, out)
-    dealt = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
-    keyed = docs.withColumn("__key", F.sha2(F.coalesce(docs[text].cast("string"), F.lit("")), 256))
-    parts = None
-    for b in range(blocks):
-        own = [tuple(r) for r in dealt.where(F.col("block") == b).select("item_id", "text").collect()]
-        hit = _scanned(keyed.select("__key", docs[text].alias("__text")), own, "__text", "h").select("__key", "h.*").where("n_hit > 0 OR n_words > 0")
-        parts = hit if parts is None else parts.unionByName(hit)
-    merged = written(parts.groupBy("__key").agg(F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"), F.flatten(F.collect_set("runs")).alias("runs")), "hits")
-    merge = """aggregate(array_sort(runs), CAST(array() AS array<struct<s:bigint,e:bigint>>), (a, x) ->
-      IF(size(a) > 0 AND x.s <= element_at(a, -1).e, concat(slice(a, 1, size(a) - 1), array(named_struct('s', element_at(a, -1).s, 'e', greatest(element_at(a, -1).e, x.e)))), concat(a, array(x))))"""
-    merged = merged.select("__key", "n_words", F.array_sort("items").alias("items"), F.expr(merge).alias("runs"))
-    merged = merged.select("__key", F.struct("n_words", F.expr("aggregate(runs, 0L, (a, x) -> a + x.e - x.s)").alias("n_hit"), "items", "runs").alias(out))
-    none = F.expr(f"CAST(named_struct('n_words', 0L, 'n_hit', 0L, 'items', array(), 'runs', array()) AS {RESULT})")
-    return keyed.join(merged, "__key", "left").withColumn(out, F.coalesce(out, none)).select(*[F.col(f"`{c}`") for c in docs.columns], out)
+    unnamed: items without an id hit too; they are never among `items`. Without `keep_text` the text's column goes."""
+    known = Benchmark(benchmark, unnamed)
+    seen = _seen(docs, known, text, keep_text)
+    hits = written(_hits(seen, known), "hits")
+
+    def runs(at: pa.Array) -> pa.Array:
+        return _runs(at)
+
+    runs.__annotations__ = {"at": pa.Array, "return": pa.Array}
+    made = F.arrow_udf(runs, "array<struct<s:long,e:long>>").asNondeterministic()
+    places = hits.groupBy("nth").agg(F.collect_list(F.struct("k", "starts")).alias("at")).select("nth", made("at").alias("runs"))
+    items = hits.select("nth", "set").distinct().join(known.sets, "set").select("nth", F.explode("items").alias("item")).groupBy("nth").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    told = seen.where(F.size("found") > 0).drop("found").join(places, "nth", "left").join(items, "nth", "left")
+    none = seen.where(F.size("found") == 0).drop("found").withColumns({"runs": F.lit(None).cast("array<struct<s:long,e:long>>"), "items": F.lit(None).cast("array<long>")})
+    every = told.unionByName(none).withColumns({"runs": F.coalesce("runs", F.array().cast("array<struct<s:long,e:long>>")), "items": F.coalesce("items", F.array().cast("array<long>"))})
+    names = [f.name for f in seen.schema["row"].dataType.fields]
+    kept = [F.col(f"row.`{c}`").alias(unused(docs, f"{c}_before") if c.lower() == out.lower() else c) for c in names]
+    n_hit = F.aggregate("runs", F.lit(0).cast("long"), lambda a, x: a + x["e"] - x["s"])
+    return every.select(*kept, F.struct("n_words", n_hit.alias("n_hit"), "items", "runs").cast(RESULT).alias(out))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of `docs` without a hit, of items with or without an id."""
+    known = Benchmark(benchmark, unnamed=True)
+    seen = _seen(docs, known, text, True)
+    hit = written(_hits(seen, known).select("nth").distinct(), "hits")
+    kept = seen.where(F.size("found") == 0).unionByName(seen.where(F.size("found") > 0).join(hit, "nth", "left_anti").select(*seen.columns))
+    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    marked = mark(docs, table(spark, sf_dir, "benchmark"), unnamed=True)
+    marked = mark(docs, table(spark, sf_dir, "benchmark"), unnamed=True, keep_text=False)
     ids = F.expr("array_join(array_sort(transform(hits.items, x -> string(x))), ',')")
     return marked.select("doc_id", "hits.n_words", "hits.n_hit", F.size("hits.items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), (F.col("hits.n_hit") > 0).alias("contaminated"))
