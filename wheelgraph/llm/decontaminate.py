@@ -38,13 +38,12 @@ from ._common import arrow_limits, remove, table, unused, written
 
 WINDOW, GRAM = 10, 5
 WINNOW = WINDOW - GRAM + 1
-#: The most bits of a filter, as a power of two: 8 MB. Fewer are taken for small benchmarks, about 16 an entry.
+#: The most bits of a filter, as a power of two: 8 MB. Small benchmarks have 512 an entry, so that few documents
+#: show a false candidate; very large ones fewer than one, so that more rows reach the join.
 FILTER_BITS = 26
-KEPT = 500_000
 RESULT = "struct<n_words:long,n_hit:long,items:array<long>,runs:array<struct<s:long,e:long>>>"
 #: One byte for each: word bytes stay (A-Z lower-cased), all others become spaces. UTF-8 beyond ASCII is word bytes only.
 _WORDS = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
-_hash: dict[bytes, int] = {}
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -52,32 +51,34 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def _numbers(words: list[bytes]) -> np.ndarray:
-    """Hashes of words; those met lately are kept."""
-    if len(_hash) > KEPT:
-        _hash.clear()
-    for w in set(words).difference(_hash):
-        _hash[w] = xxhash.xxh64_intdigest(w)
-    return np.fromiter(map(_hash.__getitem__, words), np.uint64, len(words))
+    """Hashes of words."""
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
-def _grams(n: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of all runs of k words, by the words' hashes."""
-    h = np.full(max(0, len(n) - k + 1), k, np.uint64)
+def _grams(n: np.ndarray, k: int, at: np.ndarray | None = None) -> np.ndarray:
+    """Hashes of all runs of k words, or of those that start `at` some, by the words' hashes."""
+    size = max(0, len(n) - k + 1)
+    h = np.full(size if at is None else len(at), k, np.uint64)
     for j in range(k):
-        h = (h ^ n[j : j + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= n[j : j + size] if at is None else n[at + j]
+        h *= np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
-    return h * np.uint64(0xBF58476D1CE4E5B9)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return h
 
 
 def winnowed(h: np.ndarray, window: int = WINNOW) -> np.ndarray:
     """Positions of the kept hashes: of each `window` successive ones the smallest, the rightmost of equals."""
     if len(h) < window:
         return np.zeros(0, np.int64)
-    best = np.arange(window - 1, len(h))
+    best = place = np.arange(window - 1, len(h))
+    least = h[window - 1 :]
     for back in range(1, window):
-        at = np.arange(window - 1 - back, len(h) - back)
-        best = np.where(h[at] < h[best], at, best)
-    return np.unique(best)
+        other = h[window - 1 - back : len(h) - back]
+        less = other < least
+        least, best = np.where(less, other, least), np.where(less, place - back, best)
+    # places never go back from one window to the next
+    return best[np.concatenate([[True], best[1:] != best[:-1]])]
 
 
 def united(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -118,7 +119,7 @@ def windows(words: list[bytes], grams: Filter, whole: Filter, short: list[int])
         if len(kept := kept[grams(h[kept])]):
             starts = np.unique(kept[:, None] - np.arange(WINNOW))
             starts = starts[(starts >= 0) & (starts <= len(n) - WINDOW)]
-            add(starts[whole(_grams(n, WINDOW)[starts])], WINDOW)
+            add(starts[whole(_grams(n, WINDOW, starts))], WINDOW)
     for k in short:
         if len(n) >= k:
             add(np.flatnonzero(whole(_grams(n, k))), k)
@@ -151,8 +152,8 @@ def _items(batches):
 
 
 def _filter(rows: DataFrame, n: int) -> Filter:
-    """The filter of `rows` (h), about 16 bits for each of the `n`; its bits are put together before they reach the driver."""
-    bits = min(FILTER_BITS, max(12, math.ceil(math.log2(n + 1)) + 4))
+    """The filter of `rows` (h), of which there are `n`; its bits are put together before they reach the driver."""
+    bits = min(FILTER_BITS, max(12, math.ceil(math.log2(n + 1)) + 9))
     slot = F.shiftrightunsigned("h", 64 - bits)
     bit = F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(h, {64 - bits}) & 63 AS INT))")
     got = rows.groupBy(F.shiftright(slot, 6).alias("slot")).agg(F.bit_or(bit).alias("mask")).toArrow()  # at most 2^(bits - 6) rows
