@@ -91,8 +91,14 @@ def test_truth_views_and_scores(spark):
 
 
 def test_suggestions(spark):
-    rows = [("a", "stairs", None, 0.9, 2, 0.0, 0.0), ("b", "stairs", None, 0.9, 2, 100.0, 0.0), ("c", "curb_ramp", None, 0.9, 2, 100.0, 0.0), ("d", "tree", None, 0.9, 2, 0.0, 0.0), ("e", "stairs", "temporary", 0.9, 2, 0.0, 0.0), ("f", "stairs", None, 0.7, 2, 0.0, 0.0), ("g", "raised_curb", None, 0.8, 1, 0.0, 0.0)]
-    b = spark.createDataFrame(rows, "id string, type string, permanence string, confidence double, n_views long, x double, y double")
-    mapped = spark.createDataFrame([("steps", 115.0, 0.0), ("kerb", 112.0, 0.0)], "kind string, mx double, my double")
-    got = {r.id: (r.reason, r.tag) for r in evaluate.suggestions(b, mapped).collect()}
-    assert got == {"a": (None, "highway=steps"), "b": ("already_in_osm", "highway=steps"), "c": (None, "kerb=lowered"), "d": ("no_tag", None), "e": ("temporary", "highway=steps"), "f": ("low_confidence", "highway=steps"), "g": ("few_views", "kerb=raised")}
+    """A line of steps 15 m and a kerb 12 m from the place of b and c: near enough for steps only."""
+    east = 1 / (111_412 * math.cos(math.radians(48)))
+    rows = [("a", "stairs", None, 0.9, 2, 0.0), ("b", "stairs", None, 0.9, 2, 100.0), ("c", "curb_ramp", None, 0.9, 2, 100.0), ("d", "tree", None, 0.9, 2, 0.0), ("e", "stairs", "temporary", 0.9, 2, 0.0), ("f", "stairs", None, 0.7, 2, 0.0), ("g", "raised_curb", None, 0.8, 1, 0.0), ("h", "raised_curb", "permanent", 0.8, 2, 109.0)]
+    b = spark.createDataFrame([(*r[:5], 11 + r[5] * east, 48.0, f"img{r[0]}_left", "2022-03-04 05:06", 12.0, None) for r in rows], "id string, type string, permanence string, confidence double, n_views long, lon double, lat double, best_frame string, last_seen string, height_cm double, description string")
+    mapped = spark.createDataFrame([("steps", 1, [(11 + 115 * east, 47.9999), (11 + 115 * east, 48.0001)]), ("kerb", 1, [(11 + 112 * east, 48.0)]), ("steps", 2, [(11.5, 48.0), (11.6, 48.0)])], "kind string, shape long, coords array<struct<lon:double,lat:double>>")
+    found = evaluate.suggestions(b, mapped)
+    got = {r.id: (r.reason, r.tag) for r in found.collect()}
+    assert got == {"a": (None, "highway=steps"), "b": ("already_in_osm", "highway=steps"), "c": (None, "kerb=lowered"), "d": ("no_tag", None), "e": ("temporary", "highway=steps"), "f": ("low_confidence", "highway=steps"), "g": ("few_views", "kerb=raised"), "h": ("already_in_osm", "kerb=raised")}
+    assert {r.reason: r.n for r in evaluate.suggestion_counts(found).collect()} == {"no_tag": 1, "temporary": 1, "low_confidence": 1, "few_views": 1, "already_in_osm": 2, "suggested": 2}
+    made = {r.id: r for r in evaluate.suggestion_features(found, "p?k={image}&x").collect()}
+    assert set(made) == {"a", "c"} and made["a"].photo == "p?k=imga&x" and made["a"].last_seen == "2022-03-04" and made["c"].instruction.startswith("Add kerb=lowered")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo, lines
 from .graph import greedy_match
+from .ordered import numbered
+from .roadgraph import near_edges
 
 VIEW_M, MATCH_M = 25.0, 10.0
 #: Degrees of latitude of 25 m and more, anywhere.
@@ -35,12 +39,12 @@ def in_view(truth: DataFrame, frames: DataFrame) -> DataFrame:
     line = F.transform("coords", lambda p: lines.xy(p["lon"], p["lat"]))
     probes = F.when(F.size("coords") == 1, line).otherwise(F.array(*[lines.at(line, F.lit(i / 4)) for i in range(5)]))
     probe = truth.select("osm_id", F.explode(probes).alias("p")).select("osm_id", F.col("p.x").alias("plon"), F.col("p.y").alias("plat"))
-    # a cell of longitude is as wide as 25 m need at 70 degrees; nearer to the poles the map has no streets
-    wide = CELL_DEG * 3
-    probe = probe.withColumns({"cx": F.floor(F.col("plon") / wide), "cy": F.floor(F.col("plat") / CELL_DEG)})
+    # bands of latitude; in each, cells of longitude are as wide as 25 m need at its side nearer to the pole
+    wide = lambda band: CELL_DEG / F.greatest(F.cos(F.radians(F.least(F.greatest(F.abs(band), F.abs(band + 1)) * CELL_DEG, F.lit(90.0)))), F.lit(1e-6))
+    probe = probe.withColumn("cy", F.floor(F.col("plat") / CELL_DEG)).withColumn("cx", F.floor(F.col("plon") / wide(F.col("cy"))))
     c = F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)]))
-    cams = frames.where("image_usable").select("lon", "lat", "heading", "fov").withColumns({"cx": F.floor(F.col("lon") / wide), "cy": F.floor(F.col("lat") / CELL_DEG)}).withColumn("i", c).withColumn("j", c)
-    cams = cams.withColumns({"cx": F.col("cx") + F.col("i"), "cy": F.col("cy") + F.col("j")}).drop("i", "j")
+    cams = frames.where("image_usable").select("lon", "lat", "heading", "fov").withColumn("j", c).withColumn("i", c)
+    cams = cams.withColumn("cy", F.floor(F.col("lat") / CELL_DEG) + F.col("j")).withColumn("cx", F.floor(F.col("lon") / wide(F.col("cy"))) + F.col("i")).drop("i", "j")
     pairs = probe.join(cams, ["cx", "cy"])
     dist, azimuth = geo.near_inverse("lon", "lat", "plon", "plat")
     seen = pairs.withColumns({"dist": F.expr(dist), "azimuth": F.expr(azimuth)})
@@ -72,25 +76,107 @@ def with_scores(counts: DataFrame) -> DataFrame:
     return counts.withColumns({"precision_": F.round(p, 3), "recall_": F.round(r, 3), "f1": F.round(f1, 3)})
 
 
-def suggestions(barriers: DataFrame, mapped: DataFrame, min_conf: float = 0.8, min_views: int = 2) -> DataFrame:
-    """Barriers (id, type, permanence, confidence, n_views, x, y) with `reason`, null for those to suggest, and `tag`.
+def truth_pairs(truth: DataFrame, predicted: DataFrame, reach: float = MATCH_M) -> DataFrame:
+    """(type, i, j, d): objects of `truth` (type, i, line in metres; a point is a line of two equal points) and predictions (type, j,
+    x, y) of the same type within `reach`."""
+    lines_ = truth.select(F.struct("type", "i").alias("edge"), "line")
+    met = near_edges(predicted.select(F.struct("type", "j").alias("pid"), "x", "y"), lines_, reach).where("pid.type = edge.type")
+    return met.select("edge.type", "edge.i", "pid.j", "d")
 
-    mapped (kind kerb or steps, mx, my in the same metres): a kerb within 10 m or steps within 20 m are there already."""
-    tag = F.create_map(*[F.lit(x) for x in ("curb_ramp", "kerb=lowered", "raised_curb", "kerb=raised", "stairs", "highway=steps")])
-    kind = F.when(F.col("type") == "stairs", "steps").when(F.col("type").isin("curb_ramp", "raised_curb"), "kerb")
-    rows = barriers.withColumns({"tag": F.try_element_at(tag, "type"), "kind": kind})
-    size = 20.0
-    c = F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)]))
-    near = mapped.select("kind", "mx", "my").withColumn("i", c).withColumn("j", c).select("kind", "mx", "my", (F.floor(F.col("mx") / size) + F.col("i")).alias("cx"), (F.floor(F.col("my") / size) + F.col("j")).alias("cy"))
-    cells = rows.where("kind IS NOT NULL").select("id", "kind", "x", "y", F.floor(F.col("x") / size).alias("cx"), F.floor(F.col("y") / size).alias("cy"))
-    reach = F.when(F.col("kind") == "kerb", 10.0).otherwise(20.0)
-    there = cells.join(near, ["kind", "cx", "cy"]).where(F.hypot(F.col("x") - F.col("mx"), F.col("y") - F.col("my")) <= reach).select("id").distinct().withColumn("_there", F.lit(True))
-    rows = rows.join(there, "id", "left")
+
+def frame_scores(labels: DataFrame, predicted: DataFrame, active: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(scores, errors) of types reported for labelled frames.
+
+    labels: frame_id, usable, present (types); predicted: frame_id, usable, types. Only frames in both count. Scores hold
+    tp, fp, fn and the measures of each type that occurs, of `micro` (all types) and of `usable`, which has tn, too; errors
+    are rows of frame_id, type and kind."""
+    both = labels.select("frame_id", F.col("usable").alias("lu"), F.coalesce("present", F.array().cast("array<string>")).alias("t")).join(predicted.select("frame_id", F.col("usable").alias("pu"), F.coalesce("types", F.array().cast("array<string>")).alias("p")), "frame_id")
+    kinds = F.explode(F.array(*[F.lit(t) for t in active]))
+    each = both.select("frame_id", "t", "p", kinds.alias("type")).select("frame_id", "type", F.array_contains("t", F.col("type")).alias("there"), F.array_contains("p", F.col("type")).alias("said")).where("there OR said")
+    n = lambda c: F.count_if(c)
+    counts = each.rollup("type").agg(n(F.col("there") & F.col("said")).alias("tp"), n(~F.col("there")).alias("fp"), n(~F.col("said")).alias("fn"))
+    counts = counts.select(F.coalesce("type", F.lit("micro")).alias("type"), "tp", "fp", "fn", F.lit(None).cast("long").alias("tn"))
+    usable = both.agg(n(F.col("lu") & F.col("pu")).alias("tp"), n(~F.col("lu") & F.col("pu")).alias("fp"), n(F.col("lu") & ~F.col("pu")).alias("fn"), n(~F.col("lu") & ~F.col("pu")).alias("tn"))
+    errors = each.where("NOT (there AND said)").select("frame_id", "type", F.when(F.col("said"), "fp").otherwise("fn").alias("kind"))
+    return with_scores(counts.unionByName(usable.select(F.lit("usable").alias("type"), "tp", "fp", "fn", "tn"))), errors
+
+
+def by_weight(scores: DataFrame) -> DataFrame:
+    """Types' scores, those with the most cases first."""
+    return scores.where("type NOT IN ('micro', 'usable')").orderBy(F.desc(F.col("tp") + F.col("fp") + F.col("fn")), "type")
+
+
+def predicted_types(detections: DataFrame, least: float = 0.5) -> DataFrame:
+    """(frame_id, types): what usable frames show for good, sorted. detections: frame_id, usable, permanence, type, confidence."""
+    sure = detections.where(F.col("usable") & (F.coalesce("permanence", F.lit("permanent")) == "permanent") & (F.col("confidence") >= least))
+    return sure.groupBy("frame_id").agg(F.array_sort(F.collect_set("type")).alias("types"))
+
+
+def sheets(rows: DataFrame, weight: Column, key: str, per_sheet: int, columns: int) -> DataFrame:
+    """Rows with sheet, row and column of a contact sheet, the greatest weight first, then by `key`."""
+    placed = numbered(rows.withColumn("_w", weight), [F.desc("_w"), F.col(key)], "_n").withColumn("_n", F.col("_n") - 1)
+    at = F.col("_n") % per_sheet
+    return placed.withColumns({"sheet": F.floor(F.col("_n") / per_sheet) + 1, "row": F.floor(at / columns), "column": at % columns}).drop("_w", "_n")
+
+
+def error_sheet(errors: DataFrame, labels: DataFrame, records: DataFrame, per_sheet: int = 8, columns: int = 4) -> DataFrame:
+    """(frame_id, caption, boxes, sheet, row, column) of frames on which labels and answers differ, by frame: the label, what is
+    wrong, and the boxes of types that were reported wrongly. records: frame_id, features."""
+    what = errors.groupBy("frame_id").agg(F.array_sort(F.collect_list(F.concat_ws(":", F.upper("kind"), "type"))).alias("what"), F.collect_set(F.when(F.col("kind") == "fp", F.col("type"))).alias("wrong"))
+    rows = what.join(labels.select("frame_id", "present"), "frame_id").join(records.select("frame_id", "features"), "frame_id")
+    label = F.coalesce(F.nullif(F.array_join("present", ", "), F.lit("")), F.lit("none"))
+    boxes = F.transform(F.filter("features", lambda f: F.array_contains("wrong", f["type"])), lambda f: F.struct(f["box_2d"].alias("box_2d"), F.concat(f["type"], F.format_string(" %.2f", f["confidence"])).alias("text")))
+    made = rows.select("frame_id", F.concat(F.right("frame_id", F.lit(12)), F.lit(" | label: "), label, F.lit(" | "), F.array_join("what", " ")).alias("caption"), boxes.alias("boxes"))
+    return sheets(made, F.lit(0), "frame_id", per_sheet, columns)
+
+
+#: Tags of a suggestion, the layer in which the object would be, and what a mapper does: fixed values of the map.
+TAGS = {"curb_ramp": ("kerb=lowered", "kerb", "Add kerb=lowered at the crossing."), "raised_curb": ("kerb=raised", "kerb", "Add kerb=raised at the crossing."), "stairs": ("highway=steps", "steps", "Add highway=steps.")}
+
+
+def nearest_metres(points: DataFrame, shapes: DataFrame, reach: float) -> DataFrame:
+    """(pid, shape, metres) of points (pid, lon, lat) and shapes (shape, coords) whose point nearest in degrees lies within `reach`
+    metres on the ellipsoid. One point is a shape, too."""
+    farthest = points.agg(F.max(F.abs(F.col("lat")))).first()[0]
+    if farthest is None:
+        return points.select("pid").join(shapes.select("shape"), how="cross").limit(0).withColumn("metres", F.lit(0.0))
+    degrees = reach / (110_500.0 * max(math.cos(math.radians(min(farthest + 1, 89.9))), 1e-3))
+    line = F.transform("coords", lambda p: lines.xy(p["lon"], p["lat"]))
+    own = shapes.select(F.col("shape").alias("edge"), F.when(F.size("coords") == 1, F.array_repeat(line[0], 2)).otherwise(line).alias("line"))
+    met = near_edges(points.select("pid", F.col("lon").alias("x"), F.col("lat").alias("y")), own, degrees, least=degrees)
+    at = met.join(points.select("pid", "lon", "lat"), "pid").withColumn("metres", F.expr(geo.near_inverse("lon", "lat", "x", "y")[0]))
+    return at.where(F.col("metres") <= reach).select("pid", F.col("edge").alias("shape"), "metres")
+
+
+def suggestions(barriers: DataFrame, mapped: DataFrame, min_conf: float = 0.8, min_views: int = 2, kerb_m: float = 10.0, steps_m: float = 20.0) -> DataFrame:
+    """Barriers (id, type, permanence, confidence, n_views, lon, lat) with `reason`, null for those to suggest, `tag`, `kind` and
+    `instruction`. mapped: kind (kerb or steps), shape, coords; one of the kind within reach is there already."""
+    of = lambda i: F.try_element_at(F.create_map(*[F.lit(x) for t, v in TAGS.items() for x in (t, v[i])]), "type")
+    rows = barriers.withColumns({"tag": of(0), "kind": of(1), "instruction": F.concat(of(2), F.lit(" Automatic detection: check the photo first."))})
+    spots = rows.where("kind IS NOT NULL").select(F.struct("id", "kind").alias("pid"), "lon", "lat")
+    met = nearest_metres(spots, mapped.select(F.struct("kind", "shape").alias("shape"), "coords"), max(kerb_m, steps_m)).where("pid.kind = shape.kind")
+    there = met.where(F.col("metres") <= F.when(F.col("pid.kind") == "kerb", kerb_m).otherwise(steps_m)).select("pid.id").distinct().withColumn("_there", F.lit(True))
     reason = (
         F.when(F.col("tag").isNull(), "no_tag").when(F.coalesce("permanence", F.lit("permanent")) != "permanent", "temporary").when(F.col("confidence") < min_conf, "low_confidence")
         .when(F.col("n_views") < min_views, "few_views").when(F.col("_there"), "already_in_osm")
     )
-    return rows.withColumn("reason", reason).drop("_there", "kind")
+    return rows.join(there, "id", "left").withColumn("reason", reason).drop("_there")
+
+
+def suggestion_features(suggested: DataFrame, photo: str) -> DataFrame:
+    """What a mapper gets of those of `suggestions` without a reason (best_frame, last_seen, height_cm, description). photo: a link
+    with {image} for the image's id, the frame's up to its first underscore."""
+    image = F.substring_index("best_frame", "_", 1)
+    link = F.concat(*[x for i, part in enumerate(photo.split("{image}")) for x in ([image] if i else []) + [F.lit(part)]])
+    made = suggested.where("reason IS NULL")
+    return made.select("id", F.col("type").alias("barrier_type"), F.col("tag").alias("suggested_tags"), "confidence", "n_views", F.col("height_cm").alias("estimated_height_cm"), "description", F.left(F.coalesce(F.col("last_seen").cast("string"), F.lit("")), F.lit(10)).alias("last_seen"), link.alias("photo"), "instruction", "lon", "lat")
+
+
+def suggestion_counts(suggested: DataFrame) -> DataFrame:
+    """(reason, n) of all reasons, also of those that nothing has, and of `suggested`."""
+    reasons = ["no_tag", "temporary", "low_confidence", "few_views", "already_in_osm"]
+    sums = suggested.agg(*[F.count_if(F.col("reason") == r).alias(r) for r in reasons], F.count_if(F.col("reason").isNull()).alias("suggested"))
+    return sums.select(F.inline(F.array(*[F.struct(F.lit(r).alias("reason"), F.col(r).alias("n")) for r in [*reasons, "suggested"]])))
 
 
 def site_stats(barriers: DataFrame, frames: DataFrame, ledger: DataFrame, metrics: DataFrame, feedback: DataFrame, budget: int) -> DataFrame:
@@ -121,3 +207,10 @@ def site_stats(barriers: DataFrame, frames: DataFrame, ledger: DataFrame, metric
     for p in parts[1:]:
         one = one.crossJoin(p)  # one row each
     return one
+
+
+def timed_routes(routes: DataFrame, by: list[str]) -> DataFrame:
+    """Routes (ms, differs) by the columns `by`: their number, the upper median and the greatest time, and how many differ from the
+    shortest way. The upper median is the greatest value that at least half of the values reach."""
+    upper = F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY ms DESC)")
+    return routes.groupBy(*by).agg(F.count("*").alias("routes"), upper.alias("median_ms"), F.max("ms").alias("max_ms"), F.count_if("differs").alias("differing"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lines
@@ -19,6 +19,72 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
 
 
+def physical(edges: DataFrame) -> DataFrame:
+    """Edges (ord, u, v, osmid array, length, ...) once per street: of equal ends, sorted ids and length to a decimetre the first
+    by ord, whichever way it runs."""
+    first = Window.partitionBy(F.least("u", "v"), F.greatest("u", "v"), F.array_join(F.array_sort("osmid"), ","), F.round(F.coalesce("length", F.lit(0.0)), 1)).orderBy("ord")
+    return edges.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+
+
+def united(*layers: DataFrame) -> DataFrame:
+    """Elements (osm_type, osm_id, ...) of several selections, each once."""
+    both = layers[0]
+    for x in layers[1:]:
+        both = both.unionByName(x)
+    return both.dropDuplicates(["osm_type", "osm_id"])
+
+
+def first(values: Column) -> Column:
+    """The first of a merged tag's values; null of none."""
+    return F.get(values, F.lit(0))
+
+
+def values(tag: Column) -> Column:
+    """All values of a merged tag; none for null."""
+    return F.coalesce(tag, F.array().cast("array<string>"))
+
+
+def joined(tag: Column) -> Column:
+    """Sorted distinct values in one text, null of none."""
+    return F.nullif(F.array_join(F.array_sort(F.array_distinct(values(tag))), ", "), F.lit(""))
+
+
+def as_text(df: DataFrame) -> DataFrame:
+    """`df` with array columns as JSON text, for formats without lists."""
+    return df.withColumns({f.name: F.to_json(f.name) for f in df.schema.fields if f.dataType.typeName() == "array"})
+
+
+def edge_list(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The routing graph's edges, numbered from 0 in order of ord. nodes: node, lon, lat; edges: ord, u, v, key, length, highway,
+    surface, wheelchair and name as array<string>, line (of x, y in degrees) or null.
+
+    Gives edge, u, v, key, len, surface (sorted), wheelchair_no, steps, name, coords from u to v to six digits."""
+    end = lambda c, p: nodes.select(F.col("node").alias(c), F.struct("lon", "lat").alias(p))
+    own = undirected(edges).join(end("u", "_u"), "u").join(end("v", "_v"), "v")
+    straight = F.array(*[lines.xy(F.col(f"{p}.lon"), F.col(f"{p}.lat")) for p in ("_u", "_v")])
+    line = lines.rounded(lines.oriented(F.coalesce(F.col("line"), straight), F.col("_u.lon"), F.col("_u.lat")))
+    own = own.select(
+        "ord", "u", "v", "key", F.round("length", 2).alias("len"), F.array_sort(F.array_distinct(values(F.col("surface")))).alias("surface"), F.array_contains(values(F.col("wheelchair")), "no").alias("wheelchair_no"),
+        F.array_contains(values(F.col("highway")), "steps").alias("steps"), joined(F.col("name")).alias("name"), F.transform(line, lambda p: F.struct(p["x"].alias("lon"), p["y"].alias("lat"))).alias("coords"),
+    )
+    return numbered(own, [F.col("ord")], "edge").withColumn("edge", F.col("edge") - 1).drop("ord")
+
+
+def matched(detected: DataFrame, edges: DataFrame) -> DataFrame:
+    """Snapped barriers (edge_u, edge_v, edge_key, ...) with the `edge` (edge, u, v, key) they name, in either direction; null for
+    those whose edge is not in the graph, so that misses can be counted."""
+    names = edges.select("edge", F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e"), "key")
+    names = names.groupBy(F.col("e.u").alias("edge_u"), F.col("e.v").alias("edge_v"), F.col("key").alias("edge_key")).agg(F.min("edge").alias("edge"))
+    return detected.join(names, ["edge_u", "edge_v", "edge_key"], "left")
+
+
+def graph_stats(nodes: DataFrame, edges: DataFrame, barriers: DataFrame) -> DataFrame:
+    """One row: nodes, edges, barriers and those detected, edges with steps, kerbs of the map, edges that forbid wheelchairs."""
+    own = edges.agg(F.count("*").alias("edges"), F.count_if("steps").alias("osm_steps_edges"), F.count_if("wheelchair_no").alias("wheelchair_no_edges"))
+    bars = barriers.agg(F.count("*").alias("barriers"), F.count_if(F.col("source") == "detected").alias("detected_on_graph"), F.count_if(F.col("id").startswith("osm-kerb-")).alias("osm_kerbs"))
+    return nodes.agg(F.count("*").alias("nodes")).crossJoin(own).crossJoin(bars)  # one row each
+
+
 def largest_component(nodes: DataFrame, edges: DataFrame, by: str = "length") -> DataFrame:
     """The nodes of the component with the greatest total edge length, or with by='nodes' the most nodes; ties: the smallest label."""
     found = components(nodes.select(F.col("node").alias("id")), edges.select(F.col("u").alias("a"), F.col("v").alias("b")))
@@ -33,12 +99,13 @@ def largest_component(nodes: DataFrame, edges: DataFrame, by: str = "length") ->
     return nodes.join(kept.select(F.col("id").alias("node")), "node", "left_semi")
 
 
-def near_edges(points: DataFrame, edges: DataFrame, reach: float) -> DataFrame:
+def near_edges(points: DataFrame, edges: DataFrame, reach: float, least: float = 25.0) -> DataFrame:
     """(pid, edge, d, t, x, y) of all edges (edge, line) within `reach` of points (pid, x, y): distance, fraction and place of
     the nearest point of each, on the first of equally near segments.
 
-    Segments go to the cells of their boxes widened by `reach`, points to one cell: an equi-join by cell, no pair of all."""
-    size = max(reach * 2, 25.0)
+    Segments go to the cells of their boxes widened by `reach`, points to one cell of `least` at least: an equi-join by cell,
+    no pair of all."""
+    size = max(reach * 2, least)
     seg = edges.select("edge", F.inline(lines.runs(F.col("line"))))
     span = lambda f, k, d: F.floor((f(f"a.{k}", f"b.{k}") + d) / size)
     dealt = seg.withColumn("cx", F.explode(F.sequence(span(F.least, "x", -reach), span(F.greatest, "x", reach)))).withColumn("cy", F.explode(F.sequence(span(F.least, "y", -reach), span(F.greatest, "y", reach))))

@@ -1,11 +1,8 @@
-"""One SQL text for Spark and for DuckDB: relations in braces, integer division as {div}, ordered text aggregation by {join}, SHA-256 by {sha256}."""
+"""Input relations for Spark and for DuckDB from one text: relations in braces, integer division as {div}, ordered text aggregation by {join}, SHA-256 by {sha256}."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
@@ -31,13 +28,3 @@ def duck_text(sql: str) -> str:
     sql = re.sub(r"\{sha256:([^}]*)\}", r"sha256(\1)", sql)
     sql = sql.replace("* EXCEPT (", "* EXCLUDE (").replace("{div}", "//").replace("{row}", "row")
     return re.sub(r"\{(\w+)\}", r"\1", sql)
-
-
-def query(sql: str) -> Callable[[SparkSession, str], DataFrame]:
-    """A registered query that runs the text over the Parquet tables of a folder."""
-    used = [t for t in TABLES if "{" + t + "}" in sql]
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return spark.sql(spark_text(sql), **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})
-
-    return run

@@ -1,4 +1,4 @@
-"""The registered queries and their SQL. Texts in braces are shared by both engines, see `dialect`."""
+"""The registered queries and their SQL. Every query runs library operators; its DuckDB text is written apart from it."""
 
 from __future__ import annotations
 
@@ -6,147 +6,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..operators import cluster, graph, routing
+from ..operators import graph, routing
 from ..sources import adapters as own
-from . import network, summaries
-from .dialect import duck_text, query, spark_text
+from . import answers, graphs, images, network, summaries
+from .dialect import duck_text, spark_text
+from .images import _CHORD, _META, _AHEAD, rows
 
-SHARED: dict[str, str] = {}
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+_EDGE = f"({own.EDGES}) e"
 
 
 def _read(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataFrame:
     return spark.sql(spark_text(sql), **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables})
 
 
-PLACED = f"SELECT * FROM ({own.DETECTIONS}) d0 WHERE usable AND coalesce(permanence, 'permanent') = 'permanent'"
-
-
-def barrier_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = _read(spark, sf_dir, PLACED, "events").withColumns({"x": F.col("mx"), "y": F.col("my")})
-    found = cluster.barriers(cluster.clusters(placed))
-    sources = F.array_join(F.transform(F.map_entries("distance_sources"), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))), ",")
-    return found.withColumns({"image_ids": F.array_join("image_ids", ","), "distance_sources": sources, "views": F.array_join(F.transform("views", lambda v: v["frame_id"]), ",")})
-
-
-QUERIES["barrier_rollup"] = barrier_rollup
-_CLUSTERED = f"""WITH RECURSIVE d AS ({PLACED}),
-p AS (SELECT a.id AS a, b.id AS b FROM d a JOIN d b ON a.type = b.type AND abs(a.mx - b.mx) <= 7 AND abs(a.my - b.my) <= 7 WHERE {geo.haversine("a.lon", "a.lat", "b.lon", "b.lat")} <= {cluster.EPS_M}),
-r(id, reach) AS (SELECT id, id FROM d UNION SELECT r.id, p.b FROM r JOIN p ON r.reach = p.a),
-c AS (SELECT d.*, k.cluster FROM d JOIN (SELECT id, min(reach) AS cluster FROM r GROUP BY id) k ON k.id = d.id)"""
-ORACLES["barrier_rollup"] = duck_text(f"""{_CLUSTERED},
-f AS (SELECT cluster, frame_id, max(confidence) AS c FROM c GROUP BY cluster, frame_id),
-g AS (SELECT cluster, least(1 - product(1 - c), 0.97) AS combined FROM f GROUP BY cluster),
-b AS (SELECT cluster, min(type) AS type, sum(confidence * lon) / sum(confidence) AS lon, sum(confidence * lat) / sum(confidence) AS lat, count(*) AS n_detections, count(DISTINCT image_id) AS n_views,
-  arg_max(frame_id, row(confidence, -id)) AS best_frame, median(height_cm) AS height, max(captured_at) AS last_seen, string_agg(DISTINCT frame_id, ',' ORDER BY frame_id) AS frame_ids,
-  string_agg(frame_id || '#' || feature_index, '|' ORDER BY frame_id || '#' || feature_index) AS members, string_agg(DISTINCT image_id, ',' ORDER BY image_id) AS image_ids,
-  string_agg(frame_id, ',' ORDER BY confidence DESC, id) AS views FROM c GROUP BY cluster),
-h AS (SELECT cluster, string_agg(source || ':' || n, ',' ORDER BY source) AS distance_sources FROM (SELECT cluster, source, count(*) AS n FROM c GROUP BY cluster, source) GROUP BY cluster)
-SELECT type || '-' || substr(sha1(type || '|' || members), 1, 10) AS barrier_id, type, round(combined, 3) AS confidence, round(lon, 6) AS lon, round(lat, 6) AS lat, n_detections, n_views, best_frame,
-  round(CAST(height AS DOUBLE), 2) AS height_cm, last_seen, frame_ids, image_ids, distance_sources, views FROM b JOIN g USING (cluster) LEFT JOIN h USING (cluster) WHERE NOT (n_detections = 1 AND combined < 0.5)""")
-
-_IMG = f"({own.IMAGES}) i"
-SHARED["heading_sector"] = f"SELECT id, round({geo.pmod('heading', '360')}, 6) AS heading, {geo.sector('heading')} AS sector, round({geo.angle_diff('heading', 'quality * 36')}, 6) AS turn FROM {_IMG}"
-SHARED["camera_fov"] = f"SELECT id, round(fov, 6) AS fov, round({geo.vertical_fov('fov', '1600', '1200')}, 6) AS vfov, round({geo.bearing_offset('0.75', 'fov')}, 6) AS offset_75 FROM (SELECT id, {geo.hfov('focal')} AS fov FROM {_IMG}) f"
-SHARED["utm_zone"] = f"SELECT event_id AS id, {geo.utm_epsg('lon', 'lat')} AS epsg FROM (SELECT event_id, event_id % 360 - 180.0 AS lon, event_id % 160 - 80.0 AS lat FROM {{events}}) e"
-_VFOV = geo.vertical_fov("70.0", "1600", "1200")
-_PLACE = f"""SELECT id, lon, lat, {geo.pmod("coalesce(heading, 0.0) + " + geo.bearing_offset("cx", "70.0"), "360")} AS bearing,
-  CASE WHEN model > 0 THEN 'model' WHEN bottom IS NOT NULL THEN 'box_bottom' ELSE 'fallback' END AS source,
-  greatest(2.0, least(25.0, CASE WHEN model > 0 THEN model WHEN bottom IS NOT NULL THEN bottom ELSE 8.0 END)) AS dist,
-  conf * CASE WHEN model > 0 OR bottom IS NOT NULL THEN 1.0 ELSE 0.7 END AS conf FROM (
-  SELECT id, lon, lat, heading, id % 100 / 100.0 AS cx, CASE WHEN id % 3 = 0 THEN NULL ELSE id % 41 * 1.0 END AS model, (30 + id % 70) / 100.0 AS conf, {geo.distance_from_bottom("id % 101 / 100.0", _VFOV)} AS bottom FROM {_IMG}) b"""
-_TO = geo.destination("lon", "lat", "bearing", "dist")
-SHARED["place_detection"] = f"SELECT id, source, round(bearing, 6) AS bearing, round(dist, 3) AS distance_m, round(conf, 6) AS confidence, round({_TO[0]}, 7) AS lon, round({_TO[1]}, 7) AS lat FROM ({_PLACE}) p"
-_AHEAD = f"SELECT id, sequence, ord, captured_at, lon, lat, coalesce(lag(lon) OVER w, lon) AS lon1, coalesce(lag(lat) OVER w, lat) AS lat1, coalesce(lead(lon) OVER w, lon) AS lon2, coalesce(lead(lat) OVER w, lat) AS lat2 FROM {_IMG} WINDOW w AS (PARTITION BY sequence ORDER BY captured_at, ord)"
-SHARED["travel_bearing"] = f"SELECT id, round(dist, 3) AS travelled_m, round(azimuth, 4) AS bearing FROM ({geo.geodesic_inverse(_AHEAD, 'lon1', 'lat1', 'lon2', 'lat2')}) g"
-SHARED["haversine_hops"] = f"SELECT id, round({geo.haversine('lon1', 'lat1', 'lon', 'lat')}, 3) AS hop_m FROM ({_AHEAD}) a"
-SHARED["box_pixels"] = "SELECT l_orderkey AS id, l_linenumber AS nth, l_partkey % 1000 * 1600 / 1000 AS x0, l_suppkey % 1000 * 1200 / 1000 AS y0, l_quantity * 16 AS x1 FROM {lineitem}"
-
-_STEPS = ["lon BETWEEN 8.5290 AND 8.5380 AND lat BETWEEN 52.0185 AND 52.0295", "coalesce(camera_type, '') <> 'fisheye'", "is_pano OR heading IS NOT NULL", "captured_at >= CAST('2020-01-01 00:00:00' AS TIMESTAMP)", "sfm_shift <= 15", "road_gap > 3", "NOT is_pano OR quality <> 7", "id % 37 <> 5"]
-_NAMES = ["in_bbox", "not_fisheye", "has_heading", "fresh", "position_ok", "off_road", "pano_ok", "near_network"]
-SHARED["image_funnel"] = "SELECT count(*) AS total, " + ", ".join(f"count_if({' AND '.join(f'({s})' for s in _STEPS[: i + 1])}) AS {n}" for i, n in enumerate(_NAMES)) + f" FROM {_IMG}"
-_CELL = f"SELECT *, CAST(floor(x / 8) AS BIGINT) AS cx, CAST(floor(y / 8) AS BIGINT) AS cy, CASE WHEN is_pano THEN 'pano' ELSE CAST({geo.sector('heading')} AS STRING) END AS view, CASE WHEN on_foot THEN 1 ELSE 0 END AS foot FROM {_IMG}"
-_THIN = f"""SELECT id, x, y, captured_at, foot, quality, first_ord FROM (SELECT *, min(ord) OVER (PARTITION BY cx, cy, view) AS first_ord,
-  row_number() OVER (PARTITION BY cx, cy, view ORDER BY captured_at DESC, foot DESC, quality DESC, ord) AS nth FROM ({_CELL}) c) t WHERE nth = 1"""
-SHARED["thin_images"] = f"SELECT id, first_ord FROM ({_THIN}) k"
-_DEPTH = f"SELECT *, CAST(floor(x / 25) AS BIGINT) AS bx, CAST(floor(y / 25) AS BIGINT) AS by_, min(first_ord) OVER (PARTITION BY CAST(floor(x / 25) AS BIGINT), CAST(floor(y / 25) AS BIGINT)) AS block_ord, row_number() OVER (PARTITION BY CAST(floor(x / 25) AS BIGINT), CAST(floor(y / 25) AS BIGINT) ORDER BY captured_at DESC, foot DESC, quality DESC, first_ord) AS depth FROM ({_THIN}) k"
-#: The window over all rows runs on the 300 rows of a top-k.
-SHARED["spread_images"] = f"""SELECT id, row_number() OVER (ORDER BY depth, head_at DESC, head_foot DESC, head_quality DESC, block_ord) AS pos FROM (
-  SELECT id, depth, block_ord, max(CASE WHEN depth = 1 THEN captured_at END) OVER (PARTITION BY bx, by_) AS head_at, max(CASE WHEN depth = 1 THEN foot END) OVER (PARTITION BY bx, by_) AS head_foot,
-    max(CASE WHEN depth = 1 THEN quality END) OVER (PARTITION BY bx, by_) AS head_quality FROM ({_DEPTH}) d ORDER BY depth, head_at DESC, head_foot DESC, head_quality DESC, block_ord LIMIT 300) z"""
-SHARED["latest_by_id"] = "SELECT user_id AS id, max_by(event_type, event_id) AS event_type, min(event_id) AS position FROM {events} GROUP BY user_id"
-SHARED["pano_crops"] = f"SELECT i.id, c.yaw, round({geo.pmod('coalesce(heading, 0.0) + c.yaw', '360')}, 6) AS heading, CAST(i.id AS STRING) || '_yaw' || lpad(CAST(c.yaw AS STRING), 3, '0') AS frame_id FROM {_IMG} JOIN (VALUES (0), (90), (180), (270)) AS c(yaw) ON i.is_pano UNION ALL SELECT id, NULL, round(heading, 6), CAST(id AS STRING) FROM {_IMG} WHERE NOT is_pano"
-SHARED["major_road_sequences"] = f"SELECT sequence, round(avg(CASE WHEN road_gap <= 15 THEN 1.0 ELSE 0.0 END), 6) AS share FROM {_IMG} WHERE sequence IS NOT NULL GROUP BY sequence HAVING avg(CASE WHEN road_gap <= 15 THEN 1.0 ELSE 0.0 END) >= 0.5"
-SHARED["sequence_turns"] = f"SELECT median(d) AS median_diff, round(avg(CASE WHEN d <= 30 THEN 1.0 ELSE 0.0 END), 6) AS share_30, round(avg(CASE WHEN d >= 150 THEN 1.0 ELSE 0.0 END), 6) AS share_150 FROM (SELECT round({geo.angle_diff('heading', 'quality * 36')}, 6) AS d FROM {_IMG}) q"
-SHARED["coverage_by_year"] = f"SELECT year(captured_at) AS year, count(*) AS images, count_if(is_pano) AS panos FROM {_IMG} GROUP BY year(captured_at)"
-SHARED["tiles"] = "SELECT i.i, j.j, round(8.5 + i.i * 0.005, 6) AS min_lon, round(52.0 + j.j * 0.005, 6) AS min_lat, round(least(8.5 + (i.i + 1) * 0.005, 8.523), 6) AS max_lon, round(least(52.0 + (j.j + 1) * 0.005, 52.017), 6) AS max_lat FROM range(0, 5) AS i(i) CROSS JOIN range(0, 4) AS j(j)"
-SHARED["full_tiles"] = f"""SELECT tx, ty, n, qx, qy FROM (SELECT CAST(floor(x / 100) AS BIGINT) AS tx, CAST(floor(y / 100) AS BIGINT) AS ty, count(*) AS n FROM {_IMG} GROUP BY CAST(floor(x / 100) AS BIGINT), CAST(floor(y / 100) AS BIGINT)) t
-  CROSS JOIN (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS q(qx, qy) WHERE n >= 12"""
-
-_DET = f"({own.DETECTIONS}) d"
-SHARED["detections_by_type"] = f"SELECT type, count(*) AS n, min(id) AS first_id FROM ({PLACED}) d GROUP BY type"
-SHARED["detection_stats"] = f"SELECT count(*) AS placed, count_if(usable) AS usable, count_if(source = 'fallback') AS fallback, count(DISTINCT image_id) AS images, round(avg(confidence), 6) AS mean_conf, median(height_cm) AS median_height FROM {_DET}"
-SHARED["barrier_filter"] = f"SELECT id, type, confidence FROM {_DET} WHERE type IN ('stairs', 'raised_curb', 'narrow') AND confidence >= 0.6 AND usable"
-SHARED["predicted_types"] = f"SELECT DISTINCT frame_id, type FROM ({PLACED}) d WHERE confidence >= 0.5"
-#: Cells of 10 m: a mapped object is dealt to its own and the eight around it, a detection to its own.
-_AROUND = "(VALUES (-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 0), (0, 1), (1, -1), (1, 0), (1, 1)) AS s(dx, dy)"
-_OBJECTS = f"SELECT sx, sy, CAST(floor(sx / 10) AS BIGINT) + s.dx AS gx, CAST(floor(sy / 10) AS BIGINT) + s.dy AS gy FROM (SELECT s_suppkey * 37 % 2000 * 1.0 AS sx, s_suppkey * 53 % 2000 * 1.0 AS sy FROM {{supplier}}) o CROSS JOIN {_AROUND}"
-_MAPPED = f"SELECT DISTINCT a.id FROM (SELECT id, mx, my, CAST(floor(mx / 10) AS BIGINT) AS gx, CAST(floor(my / 10) AS BIGINT) AS gy FROM {_DET}) a JOIN ({_OBJECTS}) b ON a.gx = b.gx AND a.gy = b.gy WHERE abs(b.sx - a.mx) <= 10 AND abs(b.sy - a.my) <= 10"
-SHARED["suggestion_reasons"] = f"""SELECT reason, type, count(*) AS n FROM (SELECT type, CASE WHEN type NOT IN ('stairs', 'raised_curb', 'curb_ramp') THEN 'no_tag' WHEN permanence = 'temporary' THEN 'temporary'
-  WHEN confidence < 0.8 THEN 'low_confidence' WHEN feature_index = 0 THEN 'few_views' WHEN near_osm THEN 'already_in_osm' END AS reason FROM (
-  SELECT d.*, m.id IS NOT NULL AS near_osm FROM {_DET} LEFT JOIN ({_MAPPED}) m ON m.id = d.id) e) r GROUP BY reason, type"""
-SHARED["suggestion_tags"] = f"SELECT id, CASE type WHEN 'stairs' THEN 'highway=steps' WHEN 'raised_curb' THEN 'kerb=raised' WHEN 'curb_ramp' THEN 'kerb=lowered' END AS tag, substring_image(frame_id) AS image, left(CAST(captured_at AS STRING), 10) AS day FROM {_DET} WHERE type IN ('stairs', 'raised_curb', 'curb_ramp')".replace("substring_image(frame_id)", "substr(frame_id, 2)")
-_PRED = "SELECT doc_id AS frame_id, CASE WHEN n_chars % 2 = 0 THEN 'stairs' ELSE 'raised_curb' END AS type FROM {documents} WHERE n_chars % 5 <> 0"
-_TRUE = "SELECT doc_id AS frame_id, CASE WHEN quality = 1 THEN 'stairs' ELSE 'raised_curb' END AS type FROM {labels} WHERE quality IS NOT NULL"
-_CONFUSION = f"SELECT coalesce(t.type, p.type) AS type, count_if(t.frame_id IS NOT NULL AND p.frame_id IS NOT NULL) AS tp, count_if(t.frame_id IS NULL) AS fp, count_if(p.frame_id IS NULL) AS fn FROM ({_TRUE}) t FULL OUTER JOIN ({_PRED}) p ON t.frame_id = p.frame_id AND t.type = p.type GROUP BY ROLLUP (coalesce(t.type, p.type))"
-SHARED["frame_metrics"] = f"""SELECT coalesce(type, 'micro') AS type, tp, fp, fn, round(p, 3) AS precision_, round(r, 3) AS recall_, round(CASE WHEN p + r = 0 THEN 0.0 ELSE 2 * p * r / (p + r) END, 3) AS f1
-  FROM (SELECT *, CASE WHEN tp + fp > 0 THEN tp * 1.0 / (tp + fp) END AS p, CASE WHEN tp + fn > 0 THEN tp * 1.0 / (tp + fn) END AS r FROM ({_CONFUSION}) c) m"""
-SHARED["frame_errors"] = f"SELECT coalesce(t.frame_id, p.frame_id) AS frame_id, coalesce(t.type, p.type) AS type, CASE WHEN t.frame_id IS NULL THEN 'fp' ELSE 'fn' END AS kind FROM ({_TRUE}) t FULL OUTER JOIN ({_PRED}) p ON t.frame_id = p.frame_id AND t.type = p.type WHERE t.frame_id IS NULL OR p.frame_id IS NULL"
-SHARED["usable_confusion"] = "SELECT count_if(l.quality = 1 AND d.n_chars >= 500) AS tp, count_if(l.quality = 0 AND d.n_chars >= 500) AS fp, count_if(l.quality = 1 AND d.n_chars < 500) AS fn, count_if(l.quality = 0 AND d.n_chars < 500) AS tn FROM {labels} l JOIN {documents} d ON d.doc_id = l.doc_id"
-SHARED["holdout_split"] = """SELECT id, (6 * (sum(digit) - max(CASE WHEN i = 40 THEN digit END)) + max(CASE WHEN i = 40 THEN digit END)) % 10 < 3 AS holdout FROM (
-  SELECT event_id AS id, i, instr('0123456789abcdef', substr(sha1(CAST(event_id AS STRING)), CAST(i AS INT), 1)) - 1 AS digit FROM {events} CROSS JOIN range(1, 41) AS k(i)) h GROUP BY id"""
-SHARED["label_sets"] = "SELECT doc_id, l.toxic IS NOT NULL AND l.toxic = 1 AS flagged FROM {labels} l WHERE l.quality = 1 AND l.doc_id NOT IN (SELECT doc_id FROM {documents} WHERE n_chars < 300)"
-
-_FEED = f"({own.FEEDBACK}) f"
-SHARED["feedback_summary"] = f"SELECT barrier_id, confirm, reject, CASE WHEN reject > confirm THEN 'rejected' WHEN confirm > reject THEN 'confirmed' ELSE 'disputed' END AS status FROM (SELECT barrier_id, count_if(verdict = 'confirm') AS confirm, count_if(verdict = 'reject') AS reject FROM {_FEED} GROUP BY barrier_id) s"
-SHARED["rate_limit"] = f"SELECT id, n, n >= 30 AS limited FROM (SELECT id, count(*) OVER (PARTITION BY ip_hash ORDER BY created_at RANGE BETWEEN INTERVAL '1' HOUR PRECEDING AND CURRENT ROW) - 1 AS n FROM {_FEED}) r"
-SHARED["ledger_budget"] = "SELECT o_orderkey AS id, calls, running, running <= 1000 AS granted FROM (SELECT o_orderkey, coalesce(nullif(o_custkey % 4, 3), 1) AS calls, sum(coalesce(nullif(o_custkey % 4, 3), 1)) OVER (ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) AS running FROM {orders}) l"
-SHARED["run_cost"] = "SELECT o_orderpriority AS model, count(*) AS calls, round(avg(CASE WHEN o_orderstatus <> 'P' THEN 1.0 ELSE 0.0 END), 6) AS valid_share, round(sum(o_custkey % 3000 * 0.75 + o_orderkey % 600 * 3.75) / 1000000 / count(*), 9) AS usd_per_call FROM {orders} GROUP BY o_orderpriority"
-SHARED["cache_states"] = "SELECT state, count(*) AS n FROM (SELECT CASE WHEN l.doc_id IS NULL THEN 'miss' WHEN l.quality IS NULL THEN 'failed' WHEN d.n_chars % 7 = 0 THEN 'stale' ELSE 'hit' END AS state FROM {documents} d LEFT JOIN {labels} l ON l.doc_id = d.doc_id) s GROUP BY state"
-SHARED["metrics_upsert"] = "SELECT l_orderkey AS id, l_linenumber AS k, l_quantity AS v FROM {lineitem} l WHERE NOT EXISTS (SELECT 1 FROM {orders} o WHERE o.o_orderkey = l.l_orderkey AND o.o_orderstatus = 'F') UNION ALL SELECT o_orderkey, 0, o_totalprice FROM {orders} WHERE o_orderstatus = 'F'"
-SHARED["client_hash"] = "SELECT id, {sha256:concat('salt:', trim(split_part(ip, ',', 1)))} AS client FROM (SELECT event_id AS id, CAST(user_id AS STRING) || ' ,10.0.0.1' AS ip FROM {events}) e"
-SHARED["parse_point"] = "SELECT o_orderkey AS id, try_cast(split_part(t, ',', 1) AS DOUBLE) AS lat, try_cast(split_part(t, ',', 2) AS DOUBLE) AS lon FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'x,' ELSE '52.' || CAST(o_custkey % 1000 AS STRING) || ',8.5' END AS t FROM {orders}) o"
+def utm_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The code of the UTM zone of places all over the world."""
+    return rows(spark, sf_dir, f"SELECT event_id AS id, {geo.utm_epsg('lon', 'lat')} AS epsg FROM (SELECT event_id, event_id % 360 - 180.0 AS lon, event_id % 160 - 80.0 AS lat FROM {{events}}) e")
+
+
+QUERIES["utm_zone"] = utm_zone
+ORACLES["utm_zone"] = duck_text("SELECT event_id AS id, CAST((CASE WHEN event_id % 160 < 80 THEN '327' ELSE '326' END) || lpad(CAST(event_id % 360 // 6 + 1 AS VARCHAR), 2, '0') AS INT) AS epsg FROM {events}")
+
+
+def haversine_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The way to each image from the one before it, on the sphere."""
+    before = f"SELECT id, lon, lat, coalesce(lag(lon) OVER w, lon) AS lon1, coalesce(lag(lat) OVER w, lat) AS lat1 FROM {_META} WINDOW w AS (PARTITION BY sequence ORDER BY captured_at, ord)"
+    return rows(spark, sf_dir, f"SELECT id, round({geo.haversine('lon1', 'lat1', 'lon', 'lat')}, 3) AS hop_m FROM ({before}) b")
 
-_EDGE = f"({own.EDGES}) e"
-SHARED["graph_edges"] = f"SELECT edge, u, v, length, surface, steps, wheelchair_no FROM {_EDGE}"
-SHARED["graph_stats"] = f"SELECT count(*) AS edges, count_if(steps) AS steps, count_if(wheelchair_no) AS wheelchair_no, round(sum(length) / 1000, 3) AS km FROM {_EDGE}"
-SHARED["surface_shares"] = f"SELECT surface, count(*) AS edges, round(sum(length), 1) AS metres, round(count(*) * 1.0 / sum(count(*)) OVER (), 6) AS edge_share, round(sum(length) / sum(sum(length)) OVER (), 6) AS length_share FROM {_EDGE} GROUP BY surface"
-SHARED["node_degrees"] = f"SELECT node, count(*) AS degree, count(DISTINCT edge) AS edges FROM (SELECT u AS node, edge FROM {_EDGE} UNION ALL SELECT v, edge FROM {_EDGE}) n GROUP BY node"
-SHARED["undirected_edges"] = "SELECT least(o_custkey, o_orderkey % 1500) AS u, greatest(o_custkey, o_orderkey % 1500) AS v, min(o_orderkey) AS first_ord, count(*) AS n FROM {orders} GROUP BY least(o_custkey, o_orderkey % 1500), greatest(o_custkey, o_orderkey % 1500)"
-SHARED["steps_barriers"] = f"SELECT 'osm-steps-' || CAST(edge AS STRING) AS id, 'stairs' AS type, 1.0 AS confidence, round((x1 + x2) / 2, 6) AS x, round((y1 + y2) / 2, 6) AS y FROM {_EDGE} WHERE steps"
-SHARED["edge_samples"] = f"SELECT edge, k.i AS nth, round(x1 + (x2 - x1) * (k.i + 0.5) / 8, 6) AS x, round(y1 + (y2 - y1) * (k.i + 0.5) / 8, 6) AS y, 5.0 AS weight FROM {_EDGE} CROSS JOIN range(0, 8) AS k(i)"
-_SNAP_D, _SNAP_T = geo.segment("p.px", "p.py", "e.x1", "e.y1", "e.x2", "e.y2")
-_POINTS = "SELECT p_partkey AS pid, p_partkey * 37 % 1600 + 0.37 AS px, p_partkey * 53 % 1500 + 0.61 AS py, p_partkey * 37 % 1600 {div} 40 AS gx, p_partkey * 53 % 1500 {div} 40 AS gy FROM {part}"
-_BUCKET = "SELECT e.*, CAST(floor(x1 / 40) AS BIGINT) + s.dx AS gx, CAST(floor(y1 / 40) AS BIGINT) + s.dy AS gy FROM {edges_} CROSS JOIN (VALUES (-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 0), (0, 1), (1, -1), (1, 0), (1, 1)) AS s(dx, dy)".replace("{edges_}", _EDGE)
-SHARED["snap_to_edge"] = f"""SELECT pid, edge, round(d, 3) AS distance_m, round(t, 6) AS t FROM (SELECT pid, edge, d, t, row_number() OVER (PARTITION BY pid ORDER BY round(d, 6), edge) AS nth FROM (
-  SELECT p.pid, e.edge, {_SNAP_D} AS d, {_SNAP_T} AS t FROM ({_POINTS}) p JOIN ({_BUCKET}) e ON e.gx = p.gx AND e.gy = p.gy) c WHERE d <= 12.0) r WHERE nth = 1"""
-_CROSSINGS = f"SELECT n.*, CAST(floor(x / 10) AS BIGINT) + s.dx AS hx, CAST(floor(y / 10) AS BIGINT) + s.dy AS hy FROM ({own.NODES}) n CROSS JOIN {_AROUND}"
-SHARED["snap_to_node"] = f"""SELECT p.pid, min_by(n.node, {{row}}(round(power(n.x - p.px, 2) + power(n.y - p.py, 2), 6), n.node)) AS node, round(sqrt(min(power(n.x - p.px, 2) + power(n.y - p.py, 2))), 3) AS distance_m
-  FROM ({_POINTS}) p JOIN ({_CROSSINGS}) n ON n.hx = CAST(floor(p.px / 10) AS BIGINT) AND n.hy = CAST(floor(p.py / 10) AS BIGINT) WHERE power(n.x - p.px, 2) + power(n.y - p.py, 2) <= 100 GROUP BY p.pid"""
-_MIDDLES = f"SELECT edge, (x1 + x2) / 2 AS ex, (y1 + y2) / 2 AS ey, CAST(floor((x1 + x2) / 30) AS BIGINT) AS hx, CAST(floor((y1 + y2) / 30) AS BIGINT) AS hy FROM {_EDGE}"
-_SEEN = f"SELECT px, py, CAST(floor(px / 15) AS BIGINT) + s.dx AS hx, CAST(floor(py / 15) AS BIGINT) + s.dy AS hy FROM ({_POINTS}) p CROSS JOIN {_AROUND}"
-SHARED["covered_edges"] = f"""SELECT round(count(c.edge) * 1.0 / count(*), 6) AS covered FROM {_EDGE} LEFT JOIN (
-  SELECT DISTINCT m.edge FROM ({_MIDDLES}) m JOIN ({_SEEN}) p ON p.hx = m.hx AND p.hy = m.hy WHERE abs(p.px - m.ex) <= 15 AND abs(p.py - m.ey) <= 15) c ON c.edge = e.edge"""
-SHARED["edge_costs"] = f"""SELECT profile, edge, round(greatest(0.1 * length, length * factor + penalty), 3) AS cost, blocked FROM (SELECT p.profile, e.edge, e.length,
-  CASE e.surface WHEN 'BUILDING' THEN 1.5 WHEN 'MACHINERY' THEN p.rough ELSE 1.0 END AS factor, CASE WHEN e.steps THEN p.stairs ELSE 0.0 END AS penalty, p.strict AND (e.steps OR e.wheelchair_no) AS blocked
-  FROM {_EDGE} CROSS JOIN (VALUES ('wheelchair', true, 2.0, 400.0), ('stroller', false, 1.8, 60.0), ('suitcase', false, 1.2, 25.0)) AS p(profile, strict, rough, stairs)) c"""
-SHARED["strongest_barrier"] = f"SELECT mx {{div}} 40 AS edge, type, max_by(id, {{row}}(confidence, -id)) AS barrier, max(confidence) AS confidence FROM (SELECT id, type, confidence, CAST(floor(mx) AS BIGINT) AS mx FROM {_DET}) b GROUP BY mx {{div}} 40, type"
-SHARED["problem_text"] = f"SELECT edge, {{join:CAST(n AS STRING) || ' ' || type:type}} AS problems FROM (SELECT CAST(floor(mx / 40) AS BIGINT) AS edge, type, count(*) AS n FROM {_DET} GROUP BY CAST(floor(mx / 40) AS BIGINT), type) p GROUP BY edge"
-SHARED["osm_layers"] = "SELECT layer, count(*) AS n FROM (SELECT CASE l.k WHEN 0 THEN 'kerbs' WHEN 1 THEN 'crossings' WHEN 2 THEN 'steps' ELSE 'major_roads' END AS layer FROM {part} p CROSS JOIN range(0, 4) AS l(k) WHERE (l.k = 0 AND p_size % 2 = 0) OR (l.k = 1 AND p_brand LIKE '%1%') OR (l.k = 2 AND p_type LIKE '%STEEL%') OR (l.k = 3 AND p_size > 40)) x GROUP BY layer"
-
-for _name, _sql in SHARED.items():
-    QUERIES[_name], ORACLES[_name] = query(_sql), duck_text(_sql)
+
+QUERIES["haversine_hops"] = haversine_hops
+ORACLES["haversine_hops"] = duck_text(f"SELECT id, round(2 * 6371008.8 * asin({_CHORD.format('lon1', 'lat1', 'lon', 'lat')} / 2), 3) AS hop_m FROM ({_AHEAD}) a")
 
 
 def edge_components(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,16 +55,6 @@ c AS (SELECT id, min(reach) AS component FROM r GROUP BY id)
 SELECT component, count(*) AS nodes, coalesce(max(m.metres), 0.0) AS metres FROM c LEFT JOIN (SELECT c.component AS k, sum(e.length) AS metres FROM e JOIN c ON c.id = e.u GROUP BY c.component) m ON m.k = c.component GROUP BY component""")
 
 
-def matched_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy one-to-one matching of mapped objects to detections within 10 metres."""
-    truth = "SELECT s_suppkey AS i, s_suppkey * 37 % 50 * 40.0 AS tx, s_suppkey * 53 % 20 * 40.0 AS ty FROM {supplier}"
-    pairs = _read(spark, sf_dir, f"SELECT i, id AS j, round(sqrt(power(tx - mx, 2) + power(ty - my, 2)), 6) AS d FROM ({truth}) t JOIN {_DET} ON abs(tx - mx) <= 10 AND abs(ty - my) <= 10 WHERE power(tx - mx, 2) + power(ty - my, 2) <= 100", "supplier", "events")
-    return graph.greedy_match(pairs).select("i", "j", F.round("d", 3).alias("d"))
-
-
-QUERIES["matched_truth"] = matched_truth
-
-
 _REQUESTS = "SELECT s_suppkey AS request, s_suppkey * 37 % n AS start, s_suppkey * 53 % n AS end_ FROM {supplier}, (SELECT count(*) AS n FROM {customer}) c"
 _COSTED = f"SELECT edge, u, v, length, greatest(0.1 * length, length * CASE surface WHEN 'MACHINERY' THEN 2.0 ELSE 1.0 END) AS cost, steps OR wheelchair_no AS blocked FROM {_EDGE}"
 
@@ -195,5 +76,6 @@ QUERIES |= {"accessible_routes": accessible_routes, "network_distances": network
 #: On the lattice without gaps a shortest path is as long as the steps between rows and columns (all rows are full, so none is cut off).
 ORACLES["network_distances"] = duck_text(f"""SELECT r.request, n.node, 40.0 * (abs(n.node % 40 - r.start % 40) + abs(n.node // 40 - r.start // 40)) AS dist FROM ({own.NODES}) n CROSS JOIN (VALUES (0, 0), (1, 57)) AS r(request, start)""")
 
-QUERIES |= network.QUERIES | summaries.QUERIES
-ORACLES |= network.ORACLES | summaries.ORACLES
+for _part in (images, graphs, answers, network, summaries):
+    QUERIES |= _part.QUERIES
+    ORACLES |= _part.ORACLES

@@ -34,3 +34,14 @@ EDGES = f"""SELECT edge, u, v, 40.0 AS length, surface, (u * 3 + v) % 17 = 0 AS
 
 FEEDBACK = """SELECT event_id AS id, 'b' || CAST(user_id % 50 AS STRING) AS barrier_id, CASE WHEN event_type IN ('click', 'view') THEN 'confirm' ELSE 'reject' END AS verdict,
   ts AS created_at, 'h' || CAST(user_id % 11 AS STRING) AS ip_hash FROM {events}"""
+
+#: Images with what a search tells of them; times in milliseconds over some seven years, positions also as first reported.
+META = f"""SELECT id, ord, CASE WHEN id % 10 <> 3 THEN CAST(floor(x / 40) AS BIGINT) * 100 + CAST(floor(y / 40) AS BIGINT) END AS sequence, 1500000000000 + id * 86400000 % 220000000000 AS captured_at, lon, lat, x, y, x + sfm_shift * 0.45 AS raw_x, y + sfm_shift * 0.2 AS raw_y,
+  heading, is_pano, camera_type, on_foot, quality * 1.0 AS quality, focal FROM ({IMAGES}) i0"""
+NOW_S = 1_720_000_000
+#: Major roads in the images' metres, a nation each.
+ROADS = "SELECT n_nationkey AS edge, n_nationkey * 37 % 700 * 1.0 AS x1, n_nationkey * 211 % 1300 * 1.0 AS y1, n_nationkey * 37 % 700 + 90.0 AS x2, n_nationkey * 211 % 1300 + 60.0 AS y2 FROM {nation}"
+#: Views of the detections' anchors: cameras stand where DETECTIONS has them and look one way per anchor.
+VIEWS = f"""SELECT id, frame_id, image_id, feature_index, type, confidence AS raw_confidence, permanence, usable, height_cm, captured_at, lon, lat, id * 7919 % (n {{div}} 5 + 1) % 360 * 1.0 AS heading, 70.0 AS fov,
+  1600 AS width, 1200 AS height, 300 AS ymin, 400 + id % 20 AS xmin, CASE WHEN source = 'fallback' THEN 480 ELSE 732 + id % 5 END AS ymax, 600 - id % 20 AS xmax, CASE WHEN source = 'model' THEN 7.5 + id % 4 * 0.25 WHEN id % 3 = 0 THEN 0.0 END AS model_m
+  FROM ({DETECTIONS}) d1, (SELECT count(*) AS n FROM {{events}}) c1"""
