@@ -61,7 +61,7 @@ def frames(images: DataFrame, n: int = 4) -> DataFrame:
     each = [F.struct(F.concat_ws("_", F.col("id").cast("string"), F.lit(name)).alias("frame_id"), F.lit(name).alias("crop"), F.pmod(angle + off, F.lit(360.0)).alias("heading"), F.lit(PANO_FOV).alias("fov")) for name, off in crops(n)]
     one = F.struct(F.col("id").cast("string").alias("frame_id"), F.lit(None).cast("string").alias("crop"), angle.alias("heading"), field_of_view(F.col("focal"))["fov"].alias("fov"))
     made = images.withColumn("_f", F.explode(F.when(F.coalesce("is_pano", F.lit(False)), F.array(*each)).otherwise(F.array(one))))
-    return made.select(*images.columns, "_f.*")
+    return made.select(*[c for c in images.columns if c not in ("frame_id", "crop", "heading", "fov")], "_f.*")
 
 
 def placed(views: DataFrame) -> DataFrame:
