@@ -8,10 +8,10 @@ likelihood grows by more than `PENALTY` * ln(trigrams) each and every share
 stays at `LEAST_SHARE` or above. The prediction is the largest share.
 
 The languages are all non-null values of lang, about `TRAIN_DOCS` documents each,
-drawn by a hash of the id. Only
-`languages x BUCKETS` counts reach the driver. At most `CELLS` probabilities, or
-a text's, are taken from the model at once, however many languages. Texts are scored whole in an
-Arrow function beside the other columns, so there is no shuffle.
+drawn by a hash of the id. Only `languages x BUCKETS` counts reach the driver. At
+most `TEXTS` texts are counted and `CELLS` probabilities, or a text's, taken from
+the model at once, however many languages. Texts are scored whole in an Arrow
+function beside the other columns, so there is no shuffle.
 
 Defined results: null, empty and letterless texts are `und` with score 0, as is
 every text when nothing can be learned; a very long text is counted in slices that carry over, so with the same result;
@@ -32,7 +32,8 @@ from ._common import arrow_limits, beside, crc_mod, table
 
 BUCKETS = 1 << 15
 TRAIN_DOCS = 3000
-CELLS = 1 << 22
+CELLS = 1 << 20
+TEXTS = 64
 PENALTY = 3.0
 LEAST_SHARE = 0.05
 STEPS = 12
@@ -114,12 +115,12 @@ def mixtures(counts: list[np.ndarray], model: np.ndarray) -> list[tuple[int, flo
     return [(int(b), float(min(max(s, 0), 1)), c) for b, s, c in zip(best, score, chosen, strict=True)]
 
 
-def _runs(counts: list[np.ndarray], langs: int, most: int = CELLS):
-    """`counts` in runs of at most `most` probabilities, at least one text each."""
+def _runs(counts, langs: int, most: int = CELLS, texts: int = TEXTS):
+    """`counts`, taken as needed, in runs of at most `most` probabilities and `texts` texts, at least one text each."""
     run, cells = [], 0
     for c in counts:
         own = int(np.count_nonzero(c)) * langs
-        if run and cells + own > most:
+        if run and (cells + own > most or len(run) == texts):
             yield run
             run, cells = [], 0
         run.append(c)
@@ -166,10 +167,18 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "
 
     def predict(texts: pa.Array) -> pa.Array:
         found: list[tuple[str, float, str, float]] = [("und", 0.0, "", 0.0)] * len(texts)
-        some = [(i, c) for i, x in enumerate(texts.to_pylist()) if names and (c := trigrams(x)).any()]
-        if some:
-            for (i, _), (best, score, chosen) in zip(some, itertools.chain.from_iterable(mixtures(c, sent.value) for c in _runs([c for _, c in some], len(names))), strict=True):
-                found[i] = (names[best], score, ",".join(f"{names[j]}:{s:.3f}" for j, s in chosen), chosen[0][1])
+        places: list[int] = []
+
+        def counted():
+            for i, x in enumerate(texts.to_pylist() if names else ()):
+                c = trigrams(x)
+                if c.any():
+                    places.append(i)
+                    yield c
+
+        made = [m for run in _runs(counted(), len(names)) for m in mixtures(run, sent.value)]
+        for i, (best, score, chosen) in zip(places, made, strict=True):
+            found[i] = (names[best], score, ",".join(f"{names[j]}:{s:.3f}" for j, s in chosen), chosen[0][1])
         return pa.StructArray.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array([x[2] for x in found], pa.string()), pa.array([x[3] for x in found], pa.float64())], ["lang_pred", "score", "languages", "share"])
 
     predict.__annotations__ = {"texts": pa.Array, "return": pa.Array}
