@@ -16,7 +16,8 @@ import os
 import re
 from array import array
 
-GENERATION = 400_000
+#: Entries of a cache's generation; the byte vocabulary's pieces keep their space and case, so there are more of them.
+GENERATION = {True: 300_000, False: 400_000}
 SLICE = 1 << 20
 _OTHER = re.compile("[^\t\n\r -~¡§«¶·»¿×÷À-ÖØ-öø-ÿ‐-‧‰-⁞€]")
 _ODD = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -‍    ⁠　﻿]")
@@ -37,13 +38,13 @@ def _byte_letters() -> list[str]:
 class _Kept(dict):
     """Values by key, made on a miss; the least used half goes when a generation is full."""
 
-    def __init__(self, make):
-        self.make, self.old = make, {}
+    def __init__(self, make, size: int):
+        self.make, self.old, self.size = make, {}, size
 
     def __missing__(self, key):
         if (value := self.old.get(key)) is None:
             value = self.make(key)
-        if len(self) >= GENERATION:
+        if len(self) >= self.size:
             self.old = dict(self)
             self.clear()
         if len(key) <= 64:
@@ -61,7 +62,7 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.words, self.letters = words, _byte_letters()
-        self.pieces, self.chunks = _Kept(self._piece), _Kept(self.whole)
+        self.pieces, self.chunks = _Kept(self._piece, GENERATION[words]), _Kept(self.whole, GENERATION[words])
 
     def whole(self, text: str) -> bytes:
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
