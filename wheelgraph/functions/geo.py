@@ -54,14 +54,6 @@ def haversine(lon1: str, lat1: str, lon2: str, lat2: str) -> str:
     return f"(2 * {SPHERE} * asin(sqrt(least(1.0, {half(lat1, lat2)} + cos(radians({lat1})) * cos(radians({lat2})) * {half(lon1, lon2)}))))"
 
 
-def segment(px: str, py: str, ax: str, ay: str, bx: str, by: str) -> tuple[str, str]:
-    """(distance, fraction) of a point's projection on a segment; a segment without length is its start."""
-    dx, dy = f"({bx} - {ax})", f"({by} - {ay})"
-    length = f"({dx} * {dx} + {dy} * {dy})"
-    t = f"CASE WHEN {length} = 0 THEN 0.0 ELSE greatest(0.0, least(1.0, (({px} - {ax}) * {dx} + ({py} - {ay}) * {dy}) / {length})) END"
-    return f"sqrt(power({px} - {ax} - ({t}) * {dx}, 2) + power({py} - {ay} - ({t}) * {dy}, 2))", t
-
-
 def geodesic_inverse(source: str, lon1: str, lat1: str, lon2: str, lat2: str, steps: int = 6) -> str:
     """SQL: `source` with dist (m) and azimuth (degrees) on WGS84 by Vincenty's iteration, unrolled. Equal points: 0 and null."""
     f, a, b = WGS84_F, WGS84_A, WGS84_B
