@@ -126,3 +126,24 @@ def test_reports_are_whole(spark, monkeypatch):
     monkeypatch.setattr(sinks, "MOST_LINES", 29)
     with pytest.raises(ValueError):
         sinks.markdown(df, "T")
+
+
+def test_views_of_panoramas(spark, tmp_path):
+    import numpy as np
+
+    from wheelgraph.operators import pictures
+
+    s = project.Settings(tmp_path, "Town", BOX)
+    chosen = spark.createDataFrame([("a", 90.0, True), ("b", None, True), ("c", 0.0, True), ("flat", 0.0, False), ("x.y", 5.0, True)], "id string, heading double, is_pano boolean")
+    with pytest.raises(FileNotFoundError, match="photos"):
+        project.cut_panoramas(spark, s, chosen)
+    photos = tmp_path / "raw/images/photos"
+    photos.mkdir(parents=True)
+    picture = pictures.encoded(np.full((8, 16, 3), 77, np.uint8))
+    for name, raw in (("a.png", picture), ("b.jpg", b"none"), ("flat.png", picture), ("x.y.png", picture), ("other.png", picture), ("c.txt", picture)):
+        (photos / name).write_bytes(raw)
+    counts = {r.fault: r.n for r in project.cut_panoramas(spark, s, chosen, side=4).collect()}
+    assert counts.pop(None) == 8 and counts.pop("no picture") == 4 and list(counts.values()) == [4]
+    views = spark.read.parquet(s.path("processed", "views")).where("fault IS NULL").collect()
+    assert {r.frame_id for r in views} == {f"{k}_{c}" for k in ("a", "x.y") for c in ("forward", "right", "back", "left")}
+    assert all((pictures.decoded(bytes(r.png)) == 77).all() for r in views)

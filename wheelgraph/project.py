@@ -19,9 +19,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import geo, lines
-from .operators import cluster, coverage, evaluate, imagery, journeys, roadgraph, samples, vision
+from .operators import cluster, coverage, evaluate, imagery, journeys, pictures, roadgraph, samples, vision
 from .plans.dialect import spark_text
 from .sources import files, sinks
+from .storage import written
 from .streaming import feedback as votes
 
 #: Types that a model may report: fixed values of the answer format.
@@ -145,6 +146,21 @@ def fetch_images(spark: SparkSession, s: Settings, now: Column) -> DataFrame:
     return counts
 
 
+def cut_panoramas(spark: SparkSession, s: Settings, chosen: DataFrame, side: int = 768) -> DataFrame:
+    """PNG views of the panoramas among `chosen` images (frame_id, crop, heading, png, fault) at processed/views, cut out of raw/images/photos,
+    whose files are called by image; numbers by fault, where a null fault is a view that was made."""
+    photos = Path(s.path("raw", "images", "photos"))
+    if not photos.is_dir():
+        raise FileNotFoundError("photos of this area have not been fetched")
+    wide = written(chosen.where("is_pano").select(F.col("id").cast("string").alias("id"), "heading"), "panoramas")
+    named = F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1)
+    content = spark.read.format("binaryFile").option("pathGlobFilter", "*.{jpg,jpeg,png}").load(photos.absolute().as_uri()).select(named.alias("name"), "content")
+    there = content.join(wide, F.col("name") == F.col("id")).select("id", "heading", "content")
+    missing = wide.join(content.select("name"), F.col("name") == F.col("id"), "left_anti").select("id", "heading", F.lit(None).cast("binary").alias("content"))
+    sinks.replace(spark, s.path("processed", "views"), pictures.cropped(there.unionByName(missing), s.pano_crops, side=side))
+    return spark.read.parquet(s.path("processed", "views")).groupBy("fault").agg(F.count("*").alias("n"))
+
+
 def osm_summary(spark: SparkSession, s: Settings) -> dict[str, DataFrame]:
     """The walking network and the layers in numbers: components, lengths by highway and surface, tags, kerbs and steps."""
     edges = roadgraph.physical(network(spark, s))
@@ -347,7 +363,7 @@ def _now() -> Column:
 
 
 COMMANDS = {
-    "coverage": lambda spark, s, a: coverage_report(spark, s, _now()), "fetch-images": lambda spark, s, a: fetch_images(spark, s, _now()), "geolocate": lambda spark, s, a: geolocate(spark, s), "build-graph": lambda spark, s, a: graph(spark, s),
+    "coverage": lambda spark, s, a: coverage_report(spark, s, _now()), "fetch-images": lambda spark, s, a: fetch_images(spark, s, _now()), "cut-panoramas": lambda spark, s, a: cut_panoramas(spark, s, selected(spark, s, _now())[1]), "geolocate": lambda spark, s, a: geolocate(spark, s), "build-graph": lambda spark, s, a: graph(spark, s),
     "evaluate": lambda spark, s, a: evaluated(spark, s), "export-osm": lambda spark, s, a: suggested(spark, s), "export-site": lambda spark, s, a: export_site(spark, s, a.out), "build-demo": lambda spark, s, a: excerpt(spark, s, tuple(map(float, a.bbox.split(","))), a.out),
     "pilot": lambda spark, s, a: pilot(spark, s, a.n), "route-demo": lambda spark, s, a: trial_routes(spark, s, a.n), "barriers": lambda spark, s, a: listed(spark, s, a.types, a.min_conf), "osm-summary": lambda spark, s, a: osm_summary(spark, s),
 }
