@@ -62,7 +62,7 @@ _COSTED = f"SELECT edge, u, v, length, greatest(0.1 * length, length * CASE surf
 def accessible_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shortest against accessible routes of a batch of requests over the walking lattice."""
     requests = _read(spark, sf_dir, _REQUESTS, "supplier", "customer").withColumnRenamed("end_", "end")
-    found = routing.routes(requests, _read(spark, sf_dir, _COSTED, "customer"), _read(spark, sf_dir, own.NODES, "customer"))
+    found = routing.routes(requests, _read(spark, sf_dir, _COSTED, "customer"), _read(spark, sf_dir, own.NODES, "customer"), paths=False)
     return found.select("request", "baseline_m", "accessible_m", "violations", "same_route", "warning")
 
 
